@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import simhash
+from locusframe.llm import quality, simhash, toxicity
 from locusframe.llm.common import materialise, table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+STAGES = [("toxicity", toxic), ("quality_rules", good), ("simhash_near_dedup", near_duplicates)]
 
 #: Learned weights, XXH64 and suffix comparison can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None

@@ -104,3 +104,14 @@ def components(edges: DataFrame) -> DataFrame:
     out = materialise(final)
     discard(*maps, e)
     return out
+
+
+#: Keys that may be broadcast: at 8 bytes each, with the hash table, some tens of MB.
+BROADCAST_KEYS = 500_000
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, key: str = "_k") -> DataFrame:
+    """df without the rows whose key is in keys (a written table). Up to BROADCAST_KEYS keys are broadcast
+    after they were counted; more are joined by a shuffle, with the same result."""
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_anti")

@@ -17,9 +17,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_simhash": op7_simhash}
+    return {q.__name__: q for q in (op6_quality, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality
+
+    return {"op6_quality": quality.SQL}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, with_key
+from .common import components, discard, drop_keys, materialise, with_key
 
 BITS = 64
 #: Fingerprints looked at to estimate costs; results don't depend on it.
@@ -183,9 +183,9 @@ def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
         .agg(F.min("first").alias("first"))
         .select(F.col("first._k").alias("_k"))
     )
-    best = materialise(best)
+    extra = materialise(fps.join(best, "_k", "left_anti").select("_k"))
     discard(pairs, comp, fps)
-    return keyed.join(best, "_k", "left_semi").select(*[keyed[c] for c in docs.columns])
+    return drop_keys(keyed, extra).drop("_k")
 
 
 def _map_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
