@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import quality, simhash, toxicity
+from locusframe.llm import quality, simhash, suffix, toxicity
 from locusframe.llm.common import materialise, table
 
 
@@ -20,7 +20,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
-STAGES = [("toxicity", toxic), ("quality_rules", good), ("simhash_near_dedup", near_duplicates)]
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(docs)
+
+
+STAGES = [("toxicity", toxic), ("quality_rules", good), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeats)]
 
 #: Learned weights, XXH64 and suffix comparison can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None

@@ -17,6 +17,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -30,7 +36,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op6_quality, op7_simhash, op9_toxicity)}
+    return {q.__name__: q for q in (op5_suffix_dedup, op6_quality, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
