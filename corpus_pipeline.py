@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import quality, simhash, suffix, toxicity
+from locusframe.llm import packing, quality, simhash, suffix, toxicity
 from locusframe.llm.common import materialise, table
 
 
@@ -24,7 +25,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs)
 
 
-STAGES = [("toxicity", toxic), ("quality_rules", good), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeats)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxic), ("quality_rules", good), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeats), ("best_fit_packing", packed)]
 
 #: Learned weights, XXH64 and suffix comparison can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None

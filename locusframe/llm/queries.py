@@ -17,6 +17,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packing
+
+    return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import report
 
@@ -36,7 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op5_suffix_dedup, op6_quality, op7_simhash, op9_toxicity)}
+    return {q.__name__: q for q in (op1_packing, op5_suffix_dedup, op6_quality, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
