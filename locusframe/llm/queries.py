@@ -25,6 +25,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    from .bytebpe import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN, limit=1024)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import report
 
@@ -37,6 +45,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    from .bytebpe import encoding_digest
+
+    return encoding_digest(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -44,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_packing, op5_suffix_dedup, op6_quality, op7_simhash, op9_toxicity)}
+    return {q.__name__: q for q in (op1_packing, op2_token_counts, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
