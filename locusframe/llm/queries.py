@@ -33,6 +33,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN, limit=1024)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import report
 
@@ -60,7 +66,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_packing, op2_token_counts, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity)}
+    return {q.__name__: q for q in (op1_packing, op2_token_counts, op3_embedding_dedup, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
