@@ -65,8 +65,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_packing, op2_token_counts, op3_embedding_dedup, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity)}
+    return {q.__name__: q for q in (op1_packing, op2_token_counts, op3_embedding_dedup, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
