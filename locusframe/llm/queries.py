@@ -39,6 +39,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import report
 
@@ -72,7 +78,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_packing, op2_token_counts, op3_embedding_dedup, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity, op10_lm_score)}
+    return {q.__name__: q for q in (op1_packing, op2_token_counts, op3_embedding_dedup, op4_html_text, op5_suffix_dedup, op6_quality, op7_simhash, op8_byte_bpe, op9_toxicity, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
