@@ -251,7 +251,8 @@ def learn_lexicon(pos: list[str], neg: list[str], margin: float = 12.0, least_od
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn from labelled rows outside the held-out fold; at most max_train of each label, read by the driver.
 
-    Rows without an id, label or text teach nothing. Of ids that are repeated, each text counts.
+    Rows without an id, label or text teach nothing. Of an id's texts, the least counts, so that no number of
+    repeated rows comes to the driver.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
     counts = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
@@ -260,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         part = ids.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         some = part if some is None else some.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").where("text is not null")
+    rows = texts.join(F.broadcast(some), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     got: dict[int, list] = defaultdict(list)
     for doc_id, text, y in rows.collect():
         got[y].append((doc_id, text))
