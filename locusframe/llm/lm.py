@@ -311,11 +311,21 @@ class Scorer:
         return np.array([get(w, other) for w in words], np.int32)
 
 
-def _head(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
-    """The n most frequent words, the end first. n bounds what comes to the driver and goes to tasks."""
-    rows = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(n).collect()]
+def _head(counts: DataFrame, n: int) -> tuple[list[tuple[bytes, int]], int]:
+    """The most frequent words, n at most, the end first; and the least count among them: all words of that
+    count or a larger one are here. n bounds what comes to the driver and goes to tasks. The least count is
+    found from the numbers of words in some hundred classes of counts, so nothing is sorted."""
+    level = F.floor(F.log2("c") * 16)
+    left, cut = n, None
+    for row in counts.where(F.length("word") > 0).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= row[1]
+        if left < 0:
+            break
+        cut = row[0]
     ends = counts.where(F.length("word") == 0).first()
-    return [(END, ends[1] if ends else 0)] + [r for r in rows if r[0] != END]
+    rows = [(bytes(r[0]), r[1]) for r in counts.where((F.length("word") > 0) & (level >= cut)).collect()] if cut is not None else []
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    return [(END, ends[1] if ends else 0), *rows], rows[-1][1] if rows else 1 << 62
 
 
 def _map_train(ids: dict[bytes, int], raw: bytes, rate: float):
@@ -421,20 +431,19 @@ def lm_scores(docs: DataFrame, words: int = WORDS, head_size: int = HEAD, folds:
     learn = keyed.where("not held_out")
     counts = word_counts(learn.select("text"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = _head(counts, head_size)
+    head, least = _head(counts, head_size)
     words = min(words, len(head))
     in_model = sum(c for _, c in head[:words])
     known_types = sum(c > 0 for _, c in head[:words])
     floor = log10(tokens + 0.1 * (distinct + 1))
     rare = (tokens - in_model) + 0.1 * (distinct - known_types + 1)
     weights = fit(learn, head, words, tokens)
-    least = head[-1][1]
-    scorer = Scorer(head if head[0][1] else head[1:] and [(END, 0), *head[1:]] or [(END, 0)], weights, words, floor, rare)
+    scorer = Scorer(head, weights, words, floor, rare)
     if not head[0][1]:  # no training document: the end is unknown too
         scorer.base.pop(END)
     done = materialise(keyed.mapInArrow(_map_score(scorer), _SCORED))
     each = done.where("n_rare > 0").select("_k", F.explode("rare").alias("x")).select("_k", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    tail = counts.where(F.col("c") <= least).select(F.xxhash64("word").alias("h"), "c")
+    tail = counts.where((F.col("c") < least) & (F.length("word") > 0)).select(F.xxhash64("word").alias("h"), "c")
     c = F.coalesce("c", F.lit(0))
     late = each.join(tail, "h", "left").groupBy("_k").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("late_known"), F.sum(F.col("n") * F.log10(c + F.lit(0.1))).alias("late")
