@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 from tokenizers import Tokenizer
 
+from .common import only
+
 #: Pre-tokens remembered by a worker; beyond, the memory begins anew.
 MEMORY = 400_000
 
@@ -90,7 +92,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     text: no tokens. A null doc_id is passed on, repeated rows are counted each. Empty table: no rows. Other
     columns aren't read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_map_counts(path, pattern), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -225,7 +227,7 @@ def encoding_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null or empty text: no ids. A null doc_id is passed on, repeated rows are encoded each. Empty table: no
     rows. Other columns aren't read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_map_encode(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever the others are called (of equal names the first)."""
+    at = [df.columns.index(n) for n in names]
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
+
+
+def guarded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the columns of docs: others than those of documents can have any names."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names, safe = docs.columns, []
+        for i, n in enumerate(names):
+            safe.append(n if n in ("doc_id", "text", "source", "n_chars") and n not in safe else f"_c{i}")
+        return f(docs.toDF(*safe), *args, **kwargs).toDF(*names)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors reach; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import components, discard, materialise
+from .common import components, discard, materialise, only
 
 THRESHOLD, TREES, SPILL = 0.95, 8, 0.02
 #: Vectors that the splits are fitted on; vectors a leaf should have; rows of a block; the least of the sample in a leaf.
@@ -297,6 +297,7 @@ def near_duplicates(
     count each. A null vec_id keeps its row; it is passed over in component_id unless its component has no
     other, and never kept. Empty table: no rows. Other columns aren't read.
     """
+    vectors = only(vectors, "vec_id", "embedding")
     single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
     kind = "<f4" if single else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding") if single else F.col("embedding").cast("array<double>"))

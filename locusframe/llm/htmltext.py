@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
+
 HIDDEN, PATH, WORDS, MEASURES = 16, 512, 128, 8
 #: Synthetic pages for training, and how often each is seen.
 PAGES, EPOCHS = 900, 8
@@ -470,5 +472,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null or empty html, and pages without main text: empty text. Null page_id or url: passed on. Repeated
     rows are read each. Empty table: no rows. Other columns aren't read.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_map_extract(trained()), "page_id long, url string, text string, n_chars long")

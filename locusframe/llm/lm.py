@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, with_key
+from .common import discard, materialise, only, with_key
 
 HIDDEN, WORDS, CLASS = 16, 4032, 64
 HEAD = 1 << 18
@@ -170,6 +170,7 @@ def score(w: Weights, docs: list[np.ndarray], end: int, lanes: int = LANES, wind
             a = int(live[t])
             h = h[:a]
             if some[t]:
+                h = h.copy()  # the state before is still to be scored
                 h[first[t, :a]] = 0
             hg, xg = h @ u, x[t - t0, :a]
             g = np.tanh(xg[:, : 2 * n] + hg[:, : 2 * n])
@@ -427,7 +428,7 @@ def lm_scores(docs: DataFrame, words: int = WORDS, head_size: int = HEAD, folds:
     Empty table: no rows. Other columns aren't read.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
-    keyed = with_key(docs).select("_k", F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    keyed = with_key(only(docs, "doc_id", "text")).select("_k", F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     learn = keyed.where("not held_out")
     counts = word_counts(learn.select("text"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

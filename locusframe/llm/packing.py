@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, only
 from .wordbpe import Encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -221,7 +221,7 @@ def packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     one that may be shorter. Null or empty text: end_id alone. A null doc_id is passed on; repeated rows are
     documents each. Empty table: no rows. Other columns aren't read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = materialise(texts.mapInArrow(_map(path, capacity, end_id), _SCHEMA))
     done, left = [table.where("not open")], table.where("open")
     top = table.agg(F.max("block")).first()[0] or 0

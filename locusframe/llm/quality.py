@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, drop_keys, materialise, with_key
+from .common import discard, drop_keys, guarded, materialise, only, with_key
 
 MAX_DOCS, MAX_SHARE, MIN_LEFT = 30, 0.02, 0.5
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -92,10 +92,11 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SH
     count as one document in line frequencies. Null doc_id: kept as it is. Empty table: no rows. Other
     columns aren't read.
     """
-    v = _verdicts(_measured(with_key(docs)), max_docs, max_share, min_left)
+    v = _verdicts(_measured(with_key(only(docs, "doc_id", "source", "text"))), max_docs, max_share, min_left)
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed", "words_left")
 
 
+@guarded
 def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """docs without the rows that the rules reject; columns as they are."""
     keyed = with_key(docs)

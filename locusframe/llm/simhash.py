@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, drop_keys, materialise, with_key
+from .common import components, discard, drop_keys, guarded, materialise, only, with_key
 
 BITS = 64
 #: Fingerprints looked at to estimate costs; results don't depend on it.
@@ -55,7 +55,7 @@ def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp for each row of docs. A null text counts as empty; repeated rows stay apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map_fingerprints, "doc_id long, fp long")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map_fingerprints, "doc_id long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -168,9 +168,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
     return f.join(per, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id")
 
 
+@guarded
 def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """docs with one row of each component left: that of the smallest doc_id (nulls last), of repeated ids
-    the first in the order of the input. Columns are those of docs; their names may be any but _k and _fp."""
+    the first in the order of the input. Columns are those of docs, of any names."""
     keyed = with_key(docs)
     fps = materialise(keyed.select(F.col("_k"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_map_keyed, "_k long, id long, fp long"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k"))

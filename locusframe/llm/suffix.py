@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, with_key
+from .common import discard, guarded, materialise, only, with_key
 
 LENGTH, Q = 200, 48
 #: Contexts of one bucket that a task compares by itself; larger buckets are refined by a shuffle.
@@ -287,12 +287,13 @@ def report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) ->
     on the input. Null text: empty. Repeated rows are copies of each other and lose all they have, if they
     are long enough. A null doc_id is passed on. Empty table: no rows. Other columns aren't read.
     """
-    keyed = with_key(docs)
+    keyed = with_key(only(docs, "doc_id", "text"))
     spans = repeated_spans(keyed, length, q, hot)
     rows = keyed.select("_k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, "_k", "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(_map_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@guarded
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """docs with the repeated bytes gone from text; n_chars, where there is one, follows. No row is dropped.
     A character that is cut in the middle goes too, as text has to stay text."""

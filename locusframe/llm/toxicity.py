@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded, only
+
 MAX_TRAIN = 3000
 THRESHOLD = 0.3
 #: Classes of words that the grammar knows beforehand, in the languages of the corpus; insults are learned.
@@ -254,13 +256,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     Rows without an id, label or text teach nothing. Of an id's texts, the least counts, so that no number of
     repeated rows comes to the driver.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
+    ids = only(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
     counts = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
     some = None
     for y in (0, 1):
-        part = ids.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+        # of more rows a share by another hash, so that tasks have few to sort and send
+        share = int(min(1.0, 1.3 * max_train / max(1, counts.get(y, 0))) * 1_000_000) + 1
+        part = ids.where((F.col("toxic") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         some = part if some is None else some.union(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(some), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     got: dict[int, list] = defaultdict(list)
     for doc_id, text, y in rows.collect():
@@ -298,10 +302,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     scored each. Empty tables: no rows; without labels the score is the prior's. Other columns aren't read.
     """
     model = train(docs, labels, max_train)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_mapper(model, False), "doc_id long, score double")
+    scored = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_mapper(model, False), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@guarded
 def keep_clean(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """docs without the rows predicted toxic; columns as they are (one has to be called text)."""
     model = train(docs, labels, max_train)
