@@ -202,7 +202,8 @@ def zyg(a: list[Value]) -> Value:
     if len(a) == 4:
         a = [constant("v"), *a]
     seq, a1, a2, ref = (text(v) for v in a[:4])
-    alts, alt = items(a[4]), text(a[4])
+    alt = text(a[4])
+    alts = F.when(alt == "", F.array(F.lit(""))).otherwise(items(a[4]))
     in1, in2 = F.array_contains(alts, a1), F.array_contains(alts, a2)
     unknown = (a1 == "?") | (a2 == "?")
     called = (

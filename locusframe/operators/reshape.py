@@ -44,12 +44,15 @@ def wide(df: DataFrame, common: list[str], sample_fields: list[str], order: list
     rest = [c for c in df.columns if c not in common and c not in sample_fields]
     values = values or _labels(df, sample_fields)
     label = F.concat_ws("-", *[model.col(f) for f in sample_fields])
-    last = (lambda c: F.max_by(c, F.struct(*[model.col(o) for o in order]))) if order else (lambda c: F.max(c))
-    cells = [F.coalesce(last(F.when(F.col("_s") == v, model.col(f))) if not order else F.max_by(model.col(f), F.when(F.col("_s") == v, F.struct(*[model.col(o) for o in order]))), F.lit(missing)).alias(f"{f}-{v}") for v in values for f in rest]
-    texts = df.select(*[model.col(c) for c in common], label.alias("_s"), *[model.col(f).cast("string").alias(f) for f in rest])
-    if order:
-        extra = [o for o in order if o not in texts.columns]
-        texts = df.select(*[model.col(c) for c in common], label.alias("_s"), *[model.col(f).cast("string").alias(f) for f in rest], *[model.col(o) for o in extra])
+    own = lambda f: F.when(F.col("_s") == v, model.col(f))
+    place = F.struct(*[model.col(o) for o in order or []])
+    cells = []
+    for v in values:
+        for f in rest:
+            cell = F.max_by(model.col(f), F.when(F.col("_s") == v, place)) if order else F.max(own(f))
+            cells.append(F.coalesce(cell, F.lit(missing)).alias(f"{f}-{v}"))
+    extra = [model.col(o) for o in order or [] if o not in common and o not in rest]
+    texts = df.select(*[model.col(c) for c in common], label.alias("_s"), *[model.col(f).cast("string").alias(f) for f in rest], *extra)
     return texts.groupBy(*[model.col(c) for c in common]).agg(*cells)
 
 

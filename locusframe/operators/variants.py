@@ -239,7 +239,8 @@ def gene_elements(genes: DataFrame, upstream: int = 0) -> DataFrame:
     return t.select("chromosome", "name", "strand", F.inline(F.filter(every, lambda s: s["begin"] < s["end"]))).select("chromosome", "begin", "end", "type", "element", "name", "strand")
 
 
-_PLACE = {"CDS": "CDS", "UTR5": "UTR5", "UTR3": "UTR3", "RNA": "RNA", "intron": "intron", "upstream": "upstream", "downstream": "downstream"}
+def _field(name: str):
+    return lambda s: s[name]
 
 
 def annotate_genes(a: DataFrame, genes: DataFrame, upstream: int = 2000, splice: int = 8, essential: int = 2, bin_size: int = BIN) -> DataFrame:
@@ -259,7 +260,7 @@ def annotate_genes(a: DataFrame, genes: DataFrame, upstream: int = 2000, splice:
     one = pairs.groupBy("a_row", "b_name").agg(F.max_by(F.struct(place.alias("impact"), descr.alias("descr")), F.struct(rank, descr)).alias("v"), *own)
     lists = F.array_sort(F.collect_list(F.when(F.col("b_name").isNotNull(), F.struct(F.col("b_name").alias("name"), F.col("v.impact").alias("impact"), F.col("v.descr").alias("descr")))))
     out = one.groupBy("a_row").agg(lists.alias("_l"), *[F.first(model.col("a_" + c)).alias(c) for c in x.columns])
-    return out.select(*[model.col(c) for c in x.columns], *[F.coalesce(F.array_join(F.transform("_l", lambda s, k=k: s[k]), ";"), F.lit("")).alias(f"gene_{n}") for n, k in (("impact", "impact"), ("gene", "name"), ("descr", "descr"))])
+    return out.select(*[model.col(c) for c in x.columns], *[F.coalesce(F.array_join(F.transform("_l", _field(k)), ";"), F.lit("")).alias(f"gene_{n}") for n, k in (("impact", "impact"), ("gene", "name"), ("descr", "descr"))])
 
 
 def liftover(a: DataFrame, chain: DataFrame, bin_size: int = BIN) -> tuple[DataFrame, DataFrame]:

@@ -71,11 +71,11 @@ def expr_string(t):
     return select(t("customer"), 'c_custkey u=toupper($c_mktsegment) n=length($c_name) sub=regsub($c_name,"#","-") ext=regextract($c_name,"#0*([0-9]*)$") cc=concat($c_mktsegment,":",$c_nationkey) f=format("%.2f",$c_acctbal) g=matches($c_mktsegment,"B*")')
 
 
-_LISTS = """SELECT l_orderkey AS id, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS v, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY l_orderkey"""
+_LISTS = """SELECT l_orderkey AS id, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS v, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY l_orderkey"""
 
 
 def _lists(t):
-    e = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("q"))))
+    e = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").cast("string").alias("q"))))
     x = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(e.alias("e"))
     v = F.array_join(F.transform("e", lambda s: s["l_linenumber"].cast("string")), ",")
     q = F.array_join(F.transform("e", lambda s: F.when(s["l_linenumber"] % 3 == 0, "-").otherwise(s["q"])), ",")

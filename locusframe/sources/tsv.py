@@ -98,7 +98,8 @@ def write_tsv(df: DataFrame, path: str, comments: list[str] | None = None, heade
 
         if top:
             yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], ["value"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
     out = lines.mapInArrow(with_top, "value string")
     w = out.write.mode("overwrite")
