@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 from operator import mul
 
@@ -29,7 +30,7 @@ from tokenizers import Tokenizer
 from .common import only
 
 #: Pre-tokens remembered by a worker; beyond, the memory begins anew.
-MEMORY = 400_000
+MEMORY = 1_500_000
 
 
 # --- counts ------------------------------------------------------------------------------------------
@@ -100,41 +101,14 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
 
 
 class RankQueue:
-    """Positions by rank. Three bitmaps, each with a bit for each word of the one below that isn't zero."""
+    """Positions by rank. low has a bit for each rank whose bucket holds positions, mid a bit for each word of
+    low that isn't zero; the third level, a bit for each word of mid, and the buckets belong to one run. All
+    bits are zero between two runs. RankEncoder.merge works on the fields itself: it is called for millions of
+    pre-tokens, and calls of methods would double its time."""
 
     def __init__(self, ranks: int):
         words = -(-ranks // 64)
-        self.low, self.mid, self.top = [0] * words, [0] * -(-words // 64), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        w = rank >> 6
-        self.low[w] |= 1 << (rank & 63)
-        self.mid[w >> 6] |= 1 << (w & 63)
-        self.top |= 1 << (w >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        """The least rank and its first position; the queue mustn't be empty."""
-        t = (self.top & -self.top).bit_length() - 1
-        m = self.mid[t]
-        w = (t << 6) + (m & -m).bit_length() - 1
-        x = self.low[w]
-        rank = (w << 6) + (x & -x).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] = x = x & (x - 1)
-            if not x:
-                self.mid[t] = m = m & (m - 1)
-                if not m:
-                    self.top &= self.top - 1
-        return rank, position
+        self.low, self.mid = [0] * words, [0] * -(-words // 64)
 
 
 class RankEncoder:
@@ -145,42 +119,79 @@ class RankEncoder:
         self.known: dict[str, bytes] = {}
 
     @classmethod
+    @lru_cache(maxsize=2)
     def from_file(cls, path: str, pattern: str) -> "RankEncoder":
+        """One for all tasks of a worker, with the pre-tokens it knows."""
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        if (whole := ranks.get(piece)) is not None:
+        ranks, low, mid = self.ranks, self.queue.low, self.queue.mid
+        get = ranks.get
+        if (whole := get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at: list[int | None] = [ranks.get(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        n, top = len(piece), 0
+        buckets: dict[int, list[int]] = {}
+        rank_at = [get(piece[i : i + 2]) for i in range(n - 1)]
+        rank_at.append(None)
         for i, r in enumerate(rank_at):
             if r is not None:
-                queue.push(r, i)
-        while queue.top:
-            rank, i = queue.pop()
+                if r in buckets:
+                    buckets[r].append(i)  # positions rise, so the list is a heap
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    if not low[w]:
+                        mid[w >> 6] |= 1 << (w & 63)
+                        top |= 1 << (w >> 6)
+                    low[w] |= 1 << (r & 63)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while top:
+            t = (top & -top).bit_length() - 1  # find first set, three times
+            m = mid[t]
+            w = (t << 6) + (m & -m).bit_length() - 1
+            x = low[w]
+            rank = (w << 6) + (x & -x).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[w] = x = x & (x - 1)
+                if not x:
+                    mid[t] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
             if rank_at[i] != rank:
                 continue  # stale: one of the pair was merged since
             j = after[i]
             k = after[i] = after[j]
             rank_at[j] = None
+            h = before[i]
             if k < n:
                 before[k] = i
-                r = rank_at[i] = ranks.get(piece[i : after[k]])
-                if r is not None:
-                    queue.push(r, i)
+                r = rank_at[i] = get(piece[i : after[k]])
             else:
-                rank_at[i] = None
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:k])
-                if r != rank_at[h]:
-                    rank_at[h] = r
-                    if r is not None:
-                        queue.push(r, h)
+                r = rank_at[i] = None
+            while True:  # the pair that begins here, then the one before
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        w = r >> 6
+                        if not low[w]:
+                            mid[w >> 6] |= 1 << (w & 63)
+                            top |= 1 << (w >> 6)
+                        low[w] |= 1 << (r & 63)
+                if h < 0:
+                    break
+                r = get(piece[h:k])
+                if r == rank_at[h]:
+                    break
+                rank_at[h], i, h = r, h, -1
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
