@@ -16,6 +16,7 @@ Counts of the HEAD most frequent words go to every task; others, looked up by a
 from __future__ import annotations
 
 import io
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from math import log, log10
@@ -384,22 +385,23 @@ _SCORED = "_k long, doc_id long, held_out boolean, n_tokens long, known long, ba
 
 
 def _map_score(scorer: Scorer):
-    struct = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
     names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, n_tokens, known, base, extra, n_rare, rare = [], [], [], [], [], [], []
+            docs, n_tokens, known, base, extra, n_rare = [], [], [], [], [], []
+            hashes, times, ends = array("q"), array("i"), [0]
             for t in b.column(3):
                 ws = words_of(t.as_py())
                 docs.append(scorer.encode(ws))
                 n_tokens.append(len(ws))
-                freq, got, s, x, lost, other = Counter(ws), 0, 0.0, 0.0, 0, []
+                freq, got, s, x, lost = Counter(ws), 0, 0.0, 0.0, 0
                 lookup, shares = scorer.base.get, scorer.rare.get
                 for w, n in freq.items():
                     v = lookup(w)
                     if v is None:
-                        other.append({"h": _signed(xxhash.xxh64_intdigest(w, 42)), "n": n})
+                        hashes.append(_signed(xxhash.xxh64_intdigest(w, 42)))
+                        times.append(n)
                         lost += n
                     else:
                         got += n
@@ -407,9 +409,10 @@ def _map_score(scorer: Scorer):
                         r = shares(w)
                         if r is not None:
                             x += n * r
-                known.append(got), base.append(s), extra.append(x), n_rare.append(lost), rare.append(other)
+                known.append(got), base.append(s), extra.append(x), n_rare.append(lost), ends.append(len(hashes))
             model = score(scorer.weights, docs, 0) / log(10) + np.array(extra)
-            cols = [b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(n_rare, pa.int64()), pa.array(rare, struct)]
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.array(hashes, np.int64)), pa.array(np.array(times, np.int32))], ["h", "n"]))
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(n_rare, pa.int64()), rare]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
