@@ -46,7 +46,6 @@ def compare(df, sql, sf_dir):
     want = rows(names, r.fetchall())
     assert got[0] == want[0]
     assert kinds(df.dtypes) == types
-    extra = [x for x in got[1] if x not in set(want[1])][:3]
-    lack = [x for x in want[1] if x not in set(got[1])][:3]
+    extra, lack = sorted(set(got[1]) - set(want[1]))[:3], sorted(set(want[1]) - set(got[1]))[:3]
     assert got[1] == want[1], f"{len(got[1])} rows, {len(want[1])} wanted; only here: {extra}; lacking: {lack}"
     return len(got[1])
