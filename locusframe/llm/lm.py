@@ -4,8 +4,7 @@ Counts of all words of all training documents give the base score, the vocabular
 its output begins with, and the shares of the words outside the vocabulary, which the model sees as one rare
 word. The model has one gated recurrent layer and an output softmax in two factors, the class of a word and
 the word in its class. It is trained by truncated backpropagation in numpy: first on some WARM documents,
-then each task goes on by itself with one of SHARE of its training documents and the weights are averaged.
-What is learned from grows with the input.
+then each task goes on by itself with all of its training documents and the weights are averaged.
 
 Documents lie one after another in LANES lanes. The state of a lane is carried from window to window and
 reset where a document begins, so a document is scored as a whole, however long.
@@ -31,8 +30,8 @@ from .common import discard, materialise, only, with_key
 
 HIDDEN, WORDS, CLASS = 16, 4032, 64
 HEAD = 1 << 18
-#: Training documents of the first phase; one of how many training documents the second phase uses.
-WARM, SHARE = 1500, 16
+#: Training documents of the first phase; the second uses all.
+WARM = 1500
 LANES, WINDOW, TRAIN_LANES, TRAIN_WINDOW = 512, 32, 64, 24
 #: Different words that a task counts before it hands them on.
 FLUSH = 400_000
@@ -355,7 +354,7 @@ def _map_average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_dump(mean)], pa.binary())], ["seen", "weights"])
 
 
-def fit(train_docs: DataFrame, head: list[tuple[bytes, int]], words: int, total: int, warm: int = WARM, share: int = SHARE) -> Weights:
+def fit(train_docs: DataFrame, head: list[tuple[bytes, int]], words: int, total: int, warm: int = WARM) -> Weights:
     """Weights learned from train_docs (_k, text)."""
     counts = np.array([c for _, c in head[:words]], np.float64)
     w = initial(counts, max(0.0, total - counts.sum()))
@@ -366,7 +365,7 @@ def fit(train_docs: DataFrame, head: list[tuple[bytes, int]], words: int, total:
     docs = [np.array([ids.get(x, words) for x in words_of(r[0])], np.int32) for r in some]
     seen = sum(map(len, docs))
     w, _ = train(w, docs, 0, 0.01, epochs=max(1, min(4, 1_200_000 // max(1, seen))))
-    more = train_docs.where(F.pmod(F.xxhash64("_k", F.lit(2)), F.lit(share)) == 0).select("text")
+    more = train_docs.select("text")
     parts = more.rdd.getNumPartitions()
     models = materialise(more.mapInArrow(_map_train(ids, _dump(w), 0.003), "seen long, weights binary"))
     first = models

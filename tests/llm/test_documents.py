@@ -210,6 +210,21 @@ def test_lm_scores(docs, rows):
         assert any(g["n_tokens"] == len(ws) and g["n_known"] == sum(c[w] > 0 for w in ws) and g["train_tokens"] == n and g["held_out"] == held(r[0]) and abs(g["base_score"] - base) < 1e-6 * max(1, -base) and g["score"] < 0 for g in got[r[0]])
 
 
+def test_lm_network_learns_from_every_training_document(docs, rows, monkeypatch):
+    real, seen = lm.materialise, []
+
+    def spy(df):
+        out = real(df)
+        if out.columns == ["seen", "weights"]:
+            seen.append(sum(r[0] for r in out.select("seen").collect()))
+        return out
+
+    monkeypatch.setattr(lm, "materialise", spy)
+    lm.lm_scores(docs, words=20, head_size=25)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    assert seen == [sum(len(lm.words_of(r[1])) for r in rows if not held(r[0]))]
+
+
 def test_lm_probabilities_add_up_and_state_is_carried():
     rng = np.random.default_rng(0)
     counts = np.sort(rng.integers(1, 50, 70)).astype(float)[::-1]
