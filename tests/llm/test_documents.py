@@ -159,6 +159,35 @@ def test_local_search_raises_the_squared_fill_and_empties_sequences():
     assert s.squared_fill() > before and len(bins) <= 5 and sorted(i for b in bins for i in b) == list(range(9))
 
 
+def test_packing_mixes_the_lengths_of_all_tasks(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = {n: "the " * n for n in (15, 48)}
+    size = {n: len(t.encode(x, add_special_tokens=False).ids) + 1 for n, x in texts.items()}
+    cap = sum(size.values())
+    docs = spark.createDataFrame([(i, texts[48 if i < 1500 else 15]) for i in range(3000)], "doc_id long, text string").coalesce(2)
+    assert len({r[0] for r in packing.packing(docs, P.path("word_bpe_49k.json"), capacity=cap).select("sequence_id").collect()}) == 1500
+
+
+def test_packing_by_counts_is_best_fit_and_the_search_no_worse():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(*[(1, 101), (20, 60), (34, 50), (26, 70)][seed % 4], int(rng.integers(1, 300)))
+        counts = Counter(lengths.tolist())
+        bins = packing.best_fit(lengths, 100)
+        first = packing.best_fit_counts(counts, 100)
+        assert sum(first.values()) == len(bins)
+        have = packing.pack(counts, 100)
+        assert -(-lengths.sum() // 100) <= sum(have.values()) <= len(bins)
+        used = Counter()
+        for p, k in have.items():
+            assert 0 < sum(n * q for n, q in p) <= 100
+            for n, q in p:
+                used[n] += k * q
+        assert used == counts
+
+
 def test_quality(docs, rows, spark, tmp_path):
     from oracle import compare
 
