@@ -3,7 +3,8 @@
 A normalised line (A-Z lower-cased, white space runs as one space) is over the limit on a host when more of
 the host's different texts hold it than both ``max_docs`` and ``max_share`` of them. Copies of a text count
 once, so that a document isn't taken for boilerplate because it was crawled often. A document is depleted
-when its lines below the limit hold less than ``min_left`` of its words.
+when its lines below the limit hold less than ``min_left`` of its words. ``quality`` reports on the rows;
+``keep_good`` drops those that are rejected and takes the lines over the limit out of the others.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +39,16 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
+def _line_hash(own: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """text without the lines whose hashes are in gone."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return b"\n".join(x for x in lines if not (own := x.lower().split()) or _line_hash(own) not in gone).decode("utf-8", "surrogatepass")
+
+
 def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hashes of lines, their words. Null: no words."""
     text = text or ""
@@ -45,7 +57,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     seen, dups, hashes, sizes = set(), 0, [], []
     for line in raw.split(b"\n"):
         if own := line.lower().split():
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63))
+            hashes.append(_line_hash(own))
             sizes.append(len(own))
             if line in seen:
                 dups += 1
@@ -76,10 +88,11 @@ def frequent_lines(measured: DataFrame, max_docs: int, max_share: float) -> Data
     return freq.join(hosts, freq["host"].eqNullSafe(hosts["h"])).where(F.col("n") > F.col("docs") * max_share).select("host", "line")
 
 
-def _verdicts(measured: DataFrame, max_docs: int, max_share: float, min_left: float) -> DataFrame:
+def _verdicts(measured: DataFrame, max_docs: int, max_share: float, min_left: float, lines: bool = False) -> DataFrame:
+    """With lines, also gone_lines: the hashes of a row's lines over the limit."""
     over = materialise(frequent_lines(measured, max_docs, max_share)).withColumnRenamed("host", "h").withColumnRenamed("line", "l")
     each = measured.select("_k", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("_k", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    gone = each.join(over, each["host"].eqNullSafe(over["h"]) & (each["line"] == over["l"])).groupBy("_k").agg(F.count(F.lit(1)).alias("lines_removed"), F.sum("size").alias("gone"))
+    gone = each.join(over, each["host"].eqNullSafe(over["h"]) & (each["line"] == over["l"])).groupBy("_k").agg(F.count(F.lit(1)).alias("lines_removed"), F.sum("size").alias("gone"), *([F.collect_set("line").alias("gone_lines")] if lines else []))
     base = measured.drop("lines", "sizes", "tid", "host").join(gone, "_k", "left").fillna(0, ["lines_removed", "gone"])
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return base.withColumn("base_failed", failed).withColumn("words_left", F.col("n_words") - F.col("gone")).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.col("n_words") * F.lit(min_left)))
@@ -98,12 +111,23 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SH
 
 @guarded
 def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """docs without the rows that the rules reject; columns as they are."""
+    """docs without the rows that the rules reject, and without the lines over the limit in the text of the
+    others; n_chars, where there is one, follows. Other columns as they are."""
     keyed = with_key(docs)
     measured = _measured(keyed)
-    bad = materialise(_verdicts(measured, max_docs, max_share, min_left).where(~F.col("kept")).select("_k"))
+    verdicts = _verdicts(measured, max_docs, max_share, min_left, lines=True).select("_k", "kept", "gone_lines")
+    verdicts = materialise(verdicts.where(~F.col("kept") | F.col("gone_lines").isNotNull()))
     discard(measured)
-    return drop_keys(keyed, bad).drop("_k")
+    bad, lines = verdicts.where(~F.col("kept")).select("_k"), verdicts.where("kept").select("_k", F.col("gone_lines").alias("_lines"))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or x is None else without_lines(t, set(x)) for t, x in zip(text, lines)], dtype=object)
+
+    out = drop_keys(keyed, bad).join(lines, "_k", "left").withColumn("text", cut(F.col("text").cast("string"), "_lines"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
 
 
 SQL = r"""

@@ -204,6 +204,16 @@ def test_frequent_lines_are_cut_and_depleted_documents_rejected(spark):
     assert r[200]["lines_removed"] == 0 and not r[100]["kept"]
 
 
+def test_kept_documents_lose_the_lines_over_the_limit(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"Accept  ALL cookies\n\n{body(i)}\naccept all cookies\nend {i}", "h", 0) for i in range(40)]
+    rows += [(200 + i, f"accept all cookies\n{body(i)}", "other", -1) for i in range(5)]
+    out = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    want = {i: f"\n{body(i)}\nend {i}" for i in range(40)}
+    assert got == {i: (t, len(t)) for i, t in want.items()} | {r[0]: (r[1], -1) for r in rows[40:]}
+
+
 def test_toxicity_learns_patterns_not_the_held_out_rows(spark):
     import random
 
