@@ -148,6 +148,13 @@ def bcol_get(t):
     return bcol.get(bcol.make(x, "v"), "1", 0, 20000, -1.0)
 
 
+@query(f"""SELECT pos, coalesce(value, -1) AS value FROM (SELECT unnest(range(0, (SELECT coalesce(max(event_id) + 1, 0) FROM events))) AS pos) LEFT JOIN (SELECT begin, value FROM ({_DAYS}) WHERE value >= 1) ON pos = begin""")
+def bcol_get_all(t):
+    x = t("events").select(F.lit("chr1").alias("chromosome"), F.col("event_id").alias("pos"), F.floor(F.col("value") / 20).alias("v"))
+    end = t("events").agg(F.coalesce(F.max("event_id") + 1, F.lit(0))).first()[0]
+    return bcol.get(bcol.make(x.where("v >= 1"), "v"), "1", 0, end, -1.0)
+
+
 @query(f"SELECT p_partkey AS id, '1' AS chromosome, p_partkey AS begin, p_partkey + 1 AS \"end\", coalesce(value, 0) AS value FROM part LEFT JOIN ({_DAYS}) ON p_partkey = begin")
 def annotate_bcol(t):
     x = t("events").select(F.lit("chr1").alias("chromosome"), F.col("event_id").alias("pos"), F.floor(F.col("value") / 20).alias("v"))

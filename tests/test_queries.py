@@ -21,3 +21,10 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bcol_get_all_reads_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    got = {r["pos"]: r["value"] for r in QUERIES["bcol_get_all"](spark, SF).collect()}
+    want = {r["event_id"]: float(r["value"] // 20) for r in events.select("event_id", "value").collect() if r["value"] >= 20}
+    assert want and got == {p: want.get(p, -1.0) for p in range(max(r[0] for r in events.select("event_id").collect()) + 1)}
