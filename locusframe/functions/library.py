@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..natural import chr_clip, nat_key, nat_sort
 from .parser import ExpressionError
-from .values import Value, constant, deviation, equal, integer, is_integer, is_number, items, mean, middle, modes, number, numbers, quartile, same_length, text, total, truth
+from .values import Value, constant, deviation, equal, fixed, integer, is_integer, is_number, items, mean, middle, modes, number, numbers, quartile, same_length, text, total, truth
 
 Function = Callable[[list[Value]], Value]
 FUNCTIONS: dict[str, Function] = {}
@@ -336,10 +336,20 @@ FUNCTIONS["ncmatches"] = lambda a: Value(text(a[0]).rlike("(?i)" + glob(str(a[1]
 
 @function("format")
 def _format(a: list[Value]) -> Value:
-    pattern = str(a[0].literal)
-    kinds = re.findall(r"%[-+ #0-9.]*([a-zA-Z%])", pattern)
-    args = [integer(v) if k in "dxXoi" else text(v) if k == "s" else number(v).cast("double") for k, v in zip([k for k in kinds if k != "%"], a[1:])]
-    return Value(F.format_string(pattern.replace("%i", "%d"), *args), "text")
+    pattern, args, values = str(a[0].literal), [], iter(a[1:])
+
+    def one(m: re.Match) -> str:
+        flags, width, places, kind = m.groups()
+        if kind == "%":
+            return m[0]
+        v = next(values)
+        if kind == "f" and not set(flags) - {"-"}:
+            args.append(fixed(number(v), int(places[1:] or 0) if places is not None else 6))
+            return f"%{flags}{width}s"
+        args.append(integer(v) if kind in "dxXoi" else text(v) if kind == "s" else number(v).cast("double"))
+        return m[0].replace("i", "d")
+
+    return Value(F.format_string(re.sub(r"%([-+ #0]*)(\d*)(\.\d*)?([a-zA-Z%])", one, pattern), *args), "text")
 
 
 @function("trimformat")
@@ -350,7 +360,7 @@ def _trimformat(a: list[Value]) -> Value:
 @function("percent")
 def _percent(a: list[Value]) -> Value:
     places = int(a[1].literal) if len(a) > 1 else 1
-    return Value(F.format_string(f"%.{places}f", number(a[0]).cast("double") * 100), "text")
+    return Value(fixed(number(a[0]).cast("double") * 100, places), "text")
 
 
 @function("vabs")

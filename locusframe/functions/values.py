@@ -174,3 +174,9 @@ def same_length(a: Column, b: Column) -> tuple[Column, Column]:
     x = F.when((na == nb) | (nb == 1), a).when(na == 1, F.array_repeat(F.get(a, F.lit(0)), nb)).otherwise(bad)
     y = F.when((na == nb) | (na == 1), b).when(nb == 1, F.array_repeat(F.get(b, F.lit(0)), na)).otherwise(bad)
     return x, y
+
+
+def fixed(x: Column, places: int) -> Column:
+    """x with so many decimals as C's printf writes it: the binary value is rounded, ties to even. Java's own
+    format rounds the shortest decimal text up instead."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0" + ("." + "0" * places if places else "")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions.values import fixed
 from .intervals import BIN, overlap_join, regions
 
 
@@ -93,7 +94,7 @@ def methylation(calls: DataFrame, least: float = 2.5) -> DataFrame:
     """Called motifs, methylated ones and their share at each place; calls of a small log ratio are left out."""
     llr, m = F.col("log_lik_ratio"), F.col("num_motifs")
     g = calls.where(F.abs(llr) >= least).groupBy("chromosome", "start", "end").agg(F.sum(m).alias("called"), F.sum(F.when(llr > 0, m).otherwise(0)).alias("methylated"))
-    return g.withColumn("frequency", F.format_string("%.3f", (F.col("methylated") / F.col("called")).cast("double")))
+    return g.withColumn("frequency", fixed(F.col("methylated") / F.col("called"), 3))
 
 
 def amplicon_counts(reads: DataFrame, amplicons: DataFrame, name: str = "name", bin_size: int = BIN) -> DataFrame:
@@ -135,6 +136,8 @@ def value_histogram(segments: DataFrame, targets: DataFrame, value: str, limits:
 def combine_reports(reports: DataFrame) -> DataFrame:
     """Long reports (sample, source, parameter, value) as a table of samples: a column source_parameter each."""
     names = sorted(r[0] for r in reports.select(F.concat_ws("_", "source", "parameter")).distinct().limit(10_001).collect())
+    if len(names) > 10_000:
+        raise ValueError("more than 10000 parameters")
     key = F.concat_ws("_", "source", "parameter")
     return reports.groupBy("sample").agg(*[F.max(F.when(key == n, F.col("value"))).alias(n) for n in names])
 

@@ -18,7 +18,7 @@ from .. import model
 from ..functions.compiler import Compiler, output
 from ..functions.library import glob
 from ..functions.parser import parse
-from ..functions.values import number, of_type, text
+from ..functions.values import fixed, number, of_type, text
 from ..natural import nat_key, nat_sort, nat_sort_key
 from .select import _calculated, filter_rows, split_fields
 
@@ -152,6 +152,8 @@ def _measure(df: DataFrame, field: str) -> Column:
 def aggregated(df: DataFrame, keys: list[str], groups: list[str], pivot: list[str], aggregates: list[Aggregate]) -> DataFrame:
     """A row for each combination of keys."""
     plain: dict[str, Column] = {}
+    if any(a.how == "list" for a in aggregates):
+        df = df.withColumn("_at", F.monotonically_increasing_id())  # lists are in the order of the input
     for a in aggregates:
         if a.how in ("count", "percent", "gpercent"):
             plain["_count"] = F.count(F.lit(1))
@@ -168,7 +170,7 @@ def aggregated(df: DataFrame, keys: list[str], groups: list[str], pivot: list[st
             "median": lambda a: F.median(_measure(df, a.field)),
             "ucount": lambda a: F.count_distinct(model.col(a.field)),
             "distinct": lambda a: F.array_join(nat_sort(F.collect_set(text(of_type(model.col(a.field), df.schema[a.field].dataType)))), ","),
-            "list": lambda a: F.array_join(F.collect_list(text(of_type(model.col(a.field), df.schema[a.field].dataType))), ","),
+            "list": lambda a: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_at"), text(of_type(model.col(a.field), df.schema[a.field].dataType)).alias("v")))), lambda s: F.coalesce(s["v"], F.lit(""))), ","),
         }.get(a.how)
         if one:
             plain[a.name] = one(a)
@@ -181,7 +183,7 @@ def aggregated(df: DataFrame, keys: list[str], groups: list[str], pivot: list[st
             c = model.col(f"_sum_{a.field}" if a.field else "_count")
             # of the few summary rows; a constant key where there is nothing to part by
             w = Window.partitionBy(*([model.col(p) for p in part] or [F.lit(1)]))
-            out = out.withColumn(a.name, F.format_string("%.2f", (F.lit(100.0) * c / F.sum(c).over(w)).cast("double")))
+            out = out.withColumn(a.name, fixed(F.lit(100.0) * c / F.sum(c).over(w), 2))
         elif a.how in ("q1", "q3"):
             q = _quartile(df, keys, a).select(*[model.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], model.col(a.name))
             cond = [out[f"`{k}`"].eqNullSafe(q[f"_k{i}"]) for i, k in enumerate(keys)]

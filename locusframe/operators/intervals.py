@@ -119,14 +119,15 @@ def overlap_counts(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame
 
 
 def _events(df: DataFrame, name: str, size: int) -> DataFrame:
-    """chromosome, _bin, pos, the change of the number of regions (name), and whether a region begins or ends."""
+    """chromosome, _bin, pos, the change of the number of regions (name), and whether a region begins or ends.
+    An end on the border of two bins is an edge in the next bin too, where another region may go on."""
     cut = df.select("chromosome", "begin", "end", _bins(F.col("begin"), F.col("end"), size).alias("_bin"))
     b, e = F.greatest("begin", F.col("_bin") * size), F.least("end", (F.col("_bin") + 1) * size)
-    two = F.array(
-        F.struct(b.alias("pos"), F.lit(1).alias(name), (b == F.col("begin")).cast("int").alias("edge")),
-        F.struct(e.alias("pos"), F.lit(-1).alias(name), (e == F.col("end")).cast("int").alias("edge")),
-    )
-    return cut.where("begin < end").select("chromosome", "_bin", F.inline(two))
+    event = lambda bin_, pos, change, edge: F.struct(bin_.alias("_bin"), pos.alias("pos"), F.lit(change).alias(name), edge.alias("edge"))
+    here, ends = F.col("_bin"), e == F.col("end")
+    two = F.array(event(here, b, 1, (b == F.col("begin")).cast("int")), event(here, e, -1, ends.cast("int")))
+    border = F.array(event(here + 1, e, 0, F.lit(1)))
+    return cut.where("begin < end").select("chromosome", F.inline(F.when(ends & (e == (here + 1) * size), F.concat(two, border)).otherwise(two)))
 
 
 def segments(sets: dict[str, DataFrame], size: int = BIN) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.compiler import Compiler, output
 from ..functions.parser import parse
 from ..functions.values import Value, number, of_type, text, truth
 from ..natural import chr_clip, nat_key
+from ..shared import checkpointed
 
 
 def split_fields(spec: str | Iterable[str]) -> list[str]:
@@ -78,7 +79,7 @@ def with_row(df: DataFrame, order: list[str] | None = None, name: str = "ROW") -
 def number_partitions(df: DataFrame, name: str) -> DataFrame:
     """0, 1, ... in the order of the partitions and of the rows in them."""
     marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    marked = marked.persist()  # partition numbers must not change between the two uses
+    marked = checkpointed(marked)  # partition numbers must not change between the two uses
     sizes = marked.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each partition
     return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
@@ -199,7 +200,7 @@ def select(
         keep = [c for c in df.columns if c in keep] + [c for c in keep if c not in df.columns]
     out = df
     if query:
-            out = out.filter(truth(Compiler(df.schema, extra)(parse(query))))
+        out = out.filter(truth(Compiler(df.schema, extra)(parse(query))))
     if sort_by:
         names = [n.lstrip("-=~") for n in split_fields(sort_by)]
         made = {n: output(extra[n]) for n in names if n in extra}

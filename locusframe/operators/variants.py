@@ -12,6 +12,7 @@ from .. import model
 from ..functions.library import zyg
 from ..functions.values import Value
 from ..natural import chr_clip, nat_key, nat_sort, nat_sort_key
+from ..shared import checkpointed
 from .intervals import BIN, best_match, overlap_join, regions
 
 KEY = ["chromosome", "begin", "end", "type", "ref", "alt"]
@@ -162,35 +163,26 @@ def annotate_sv(a: DataFrame, db: DataFrame, fields: list[str], bin_size: int =
     return best_match(a, db, fields, [d, F.col("b_begin"), F.col("b_end")], {"distance": d}, True, near, bin_size, d < NO_MATCH)
 
 
-def sv_pairs(a: DataFrame, b: DataFrame, ids: str = "id", bin_size: int = BIN, rounds: int = 200, **limits) -> DataFrame:
+def sv_pairs(a: DataFrame, b: DataFrame, ids: str = "id", bin_size: int = BIN, **limits) -> DataFrame:
     """Pairs (a_id, b_id, distance) of a one-to-one match, as the greedy choice by rising distance gives: a
     pair is taken when it is the least of both of its rows; taken rows leave, and again until none is left.
-    Rounds are few, as each takes every pair that is least on both sides."""
+    Rounds are few as a rule, as each takes every pair that is least on both sides; a chain of falling
+    distances needs one for each of its pairs."""
     near = max(limits.get("lmargin", 300), limits.get("tmargin", 300), limits.get("margin", 30))
     pairs = overlap_join(regions(a, ["type", ids]), regions(b, ["type", ids]), "inner", True, near, bin_size).withColumn("distance", sv_distance(**limits)).where(F.col("distance") < NO_MATCH)
     left = pairs.select(F.col(f"a_{ids}").alias("a_id"), F.col(f"b_{ids}").alias("b_id"), "distance")
-    _checkpoints(left)
-    left, taken = left.checkpoint(), []
-    for _ in range(rounds):
+    left, taken = checkpointed(left), []
+    while True:
         order = F.struct("distance", "a_id", "b_id")
         marked = left.withColumn("_x", F.min(order).over(Window.partitionBy("a_id"))).withColumn("_y", F.min(order).over(Window.partitionBy("b_id")))
-        best = marked.where((F.col("_x") == order) & (F.col("_y") == order)).select("a_id", "b_id", "distance").checkpoint()
+        best = checkpointed(marked.where((F.col("_x") == order) & (F.col("_y") == order)).select("a_id", "b_id", "distance"))
         if not best.limit(1).count():
             break
         taken.append(best)
-        left = left.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti").checkpoint()
+        left = checkpointed(left.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti"))
     return reduce(DataFrame.union, taken) if taken else left
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; to one of our own only where that is unset."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="locusframe-"))
-
-
 def svmulticompar(tables: dict[str, DataFrame], fields: list[str], **limits) -> DataFrame:
     """Structural variants of several samples in a wide table; each sample's are matched one to one to what
     the samples before it gave, others are rows of their own."""
@@ -200,9 +192,8 @@ def svmulticompar(tables: dict[str, DataFrame], fields: list[str], **limits) ->
         if out is None:
             out = own.drop("id")
             continue
-        _checkpoints(out)
-        merged = out.withColumn("id", F.monotonically_increasing_id()).checkpoint()
-        own = own.checkpoint()
+        merged = checkpointed(out.withColumn("id", F.monotonically_increasing_id()))
+        own = checkpointed(own)
         pairs = sv_pairs(merged, own, **limits)
         cells = own.select(F.col("id").alias("b_id"), *[model.col(f"{f}-{s}") for f in fields]).join(pairs.select("a_id", "b_id"), "b_id").drop("b_id")
         both = merged.join(cells, merged["id"] == cells["a_id"], "left").drop("id", "a_id")

@@ -1,11 +1,13 @@
 """Rows of a DataFrame against rows of DuckDB's SQL, columns by name, floats to 9 places."""
 
 import math
+import os
 from decimal import Decimal
 from pathlib import Path
 
 import duckdb
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

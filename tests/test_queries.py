@@ -1,8 +1,7 @@
 import pytest
-from conftest import SF
 from locusframe.plans import genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES, SQL
-from oracle import compare
+from oracle import SF, compare
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
