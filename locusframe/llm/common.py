@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Words are runs of anything but these characters.
 ASCII_SPACE = "\x20\x09-\x0d"
 
@@ -49,37 +51,48 @@ def guarded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="locusframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/locusframe/{uuid.uuid4().hex}"
 
 
+#: Scratch tables that are there, with their sessions.
+_scratch: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. The
+    table is deleted by discard, at the latest when the driver ends."""
     spark = df.sparkSession
     path = new_path(spark)
+    if not _scratch:
+        atexit.register(_clear)
+    _scratch[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _delete(path: str) -> None:
+    spark = _scratch.pop(path, None)
+    if spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clear() -> None:
+    for path in list(_scratch):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone, and with it the way to its files
+            return
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete scratch tables that no returned DataFrame reads."""
     for df in dfs:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_scratch", None):
+            _delete(path)
 
 
 def with_key(df: DataFrame, key: str = "_k") -> DataFrame:

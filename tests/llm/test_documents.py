@@ -249,19 +249,68 @@ def test_lm_scores(docs, rows):
         assert any(g["n_tokens"] == len(ws) and g["n_known"] == sum(c[w] > 0 for w in ws) and g["train_tokens"] == n and g["held_out"] == held(r[0]) and abs(g["base_score"] - base) < 1e-6 * max(1, -base) and g["score"] < 0 for g in got[r[0]])
 
 
+def plain_lm(w, doc):
+    """Natural log probability of word ids, a word at a time: the model's definition."""
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    n, other, classes = w["u"].shape[1], w["table"].shape[1] - 1, len(w["wc"]) - 1
+    h, before, out = np.zeros(n), 0, 0.0
+
+    def share(z, k):
+        y = z / np.log(2)
+        e = 2 ** np.floor(y) * (1 + y - np.floor(y))
+        return np.log(e[k] / e.sum())
+
+    for t in doc:
+        x, g = w["table"][:, before], w["u"] @ h
+        r, z = (np.clip(0.25 * (x[i * n : (i + 1) * n] + g[i * n : (i + 1) * n]) + 0.5, 0, 1) for i in (0, 1))
+        new = x[2 * n :] + r * g[2 * n :]
+        new = new / (1 + abs(new))
+        h = new + z * (h - new)
+        one = np.append(h, 1)
+        k = classes if t == other else t // lm.CLASS
+        out += share(w["wc"] @ one, k) + (share(w["wo"][k * lm.CLASS : (k + 1) * lm.CLASS] @ one, t % lm.CLASS) if t != other else 0.0)
+        before = t
+    return out
+
+
+def test_lm_score_is_that_of_the_model_a_word_at_a_time(docs, rows, monkeypatch):
+    kept = []
+    real = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: kept.append(real(*a, **k)) or kept[-1])
+    got = by_id(lm.lm_scores(docs, words=20, head_size=25))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter(w for r in rows if not held(r[0]) for w in lm.words_of(r[1]))
+    end = c.pop(lm.END)
+    ids = {w: i for i, w in enumerate([lm.END, *sorted(c, key=lambda w: (-c[w], w))[:19]])}
+    c[lm.END] = end
+    rare = sum(n for w, n in c.items() if w not in ids) + 0.1 * (len(c) - len(ids) + 1)
+    for r in rows[::4]:
+        ws = lm.words_of(r[1])
+        want = plain_lm(kept[0], [ids.get(w, 20) for w in ws]) / np.log(10) + sum(log10((c[w] + 0.1) / rare) for w in ws if w not in ids)
+        assert any(abs(g["score"] - want) < 1e-4 * max(1, -want) for g in got[r[0]]), r[0]
+
+
+def test_lm_score_does_not_hang_on_partitions(docs):
+    a, b = (sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["score"]) for r in lm.lm_scores(d, words=20, head_size=25, block=3000).collect()) for d in (docs, docs.repartition(7)))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert np.allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-6)
+
+
 def test_lm_network_learns_from_every_training_document(docs, rows, monkeypatch):
     real, seen = lm.materialise, []
 
     def spy(df):
         out = real(df)
-        if out.columns == ["seen", "weights"]:
+        if out.columns == ["shard", "seen", "weights"]:
             seen.append(sum(r[0] for r in out.select("seen").collect()))
         return out
 
     monkeypatch.setattr(lm, "materialise", spy)
-    lm.lm_scores(docs, words=20, head_size=25)
+    monkeypatch.setattr(lm, "COPIES", 1)
+    monkeypatch.setattr(lm, "FAN", 2)
+    lm.lm_scores(docs, words=20, head_size=25, block=3000)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    assert seen == [sum(len(lm.words_of(r[1])) for r in rows if not held(r[0]))]
+    assert len(seen) > 1 and set(seen) == {sum(len(lm.words_of(r[1])) for r in rows if not held(r[0]))}
 
 
 def test_lm_probabilities_add_up_and_state_is_carried():
