@@ -1,20 +1,26 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-A string of LENGTH bytes that starts at s is filed under the least of the q-grams inside it (hashes order
-them, the leftmost of equal ones counts): two equal strings have that q-gram at the same offset, so equal
-strings meet in the same bucket. Starts with the same least q-gram are neighbours, and all of them go as one
-suffix range (lo, n) with the bytes around it, its context.
-
-1. Initial buckets: ranges by the hash of their q-gram. A bucket of one range is unique and dropped.
-2. Refinement by the identifier of the whole context (the q-grams at all later offsets of the range): ranges
-   that agree in it are repeated as a whole. Most copies are settled here, without any text being moved.
-3. The rest, where contexts differ somewhere (at the ends of a repeated passage), is refined per start: one
-   range of each context is read from its text, and each start gets the identifier of its LENGTH bytes.
-   Starts that agree in bucket, offset and identifier are repeated; what a context learns is reused by all
-   ranges that have it. Buckets of very many contexts are refined by a shuffle on the identifiers instead
-   of in one task; both give the same result.
-
-Identifiers are 64-bit polynomial hashes, two of which have to agree in each decision.
+Buckets hold starts whose first bytes are equal, and a start's pointer names its bucket. A bucket is refined by
+sorting it on the pointers at a later offset: pointers of depth d at an offset of d give depth 2 d, and those are
+read again in the next round. Starts that are alone are done. What agrees to a depth of LENGTH bytes is repeated.
+
+That is done twice, as a row for each byte of a corpus can't be sorted across tasks:
+
+1. Across tasks, for stretches of starts. A string of LENGTH bytes is filed under the least of the q-grams inside
+   it (hashes order them, the leftmost of equal ones counts), so equal strings meet in one bucket at the same
+   offset. Starts with the same least q-gram are neighbours and go as one range (lo, n) with the bytes around it,
+   its context. Initial buckets: ranges by the pointer of their q-gram; a bucket of one range is dropped.
+   Pointers of depth 2 q and 4 q are made of those at later offsets, and a bucket is refined by the pointers
+   of depth 4 q that cover the whole context. Ranges that agree in them are repeated as a whole; most copies
+   are settled here, without any text being moved. Pointers are hashes here, 64 bits for the q-gram and 64 for
+   the context, and both have to agree.
+2. In a task, for single starts. Where contexts of a bucket differ somewhere (at the ends of a repeated passage),
+   one range of each is read from its text, and the positions of all contexts are refined by their bytes:
+   initial buckets by 8 bytes, then depths of 16, 32, 64, 128 and LENGTH (`refine`), exactly. What a context
+   learns is used by all ranges that have it. Buckets of very many contexts are refined by a shuffle on two
+   identifiers of each start instead of in one task; both give the same result.
+
+Texts travel compressed, and only to where their spans or contexts are wanted.
 """
 
 import hashlib
@@ -25,12 +31,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .common import discard, guarded, materialise, only, with_key
 
 LENGTH, Q = 200, 48
 #: Contexts of one bucket that a task compares by itself; larger buckets are refined by a shuffle.
-HOT = 20_000
+HOT = 5_000
 _SEGMENT = 1 << 18
 _POS = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(20240607)
@@ -54,6 +61,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _join(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Pointers of twice the depth, from those of the depth here and at the offset of the depth."""
+    out = ids[:-depth] * _MIX
+    out ^= out >> np.uint64(29)
+    out += ids[depth:] * np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     up, _ = _power(len(data) + 1)
     out = np.empty(len(data) + 1, np.uint64)
@@ -63,7 +79,7 @@ def _sums(data: np.ndarray) -> np.ndarray:
 
 
 def ranges(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> list[np.ndarray]:
-    """text number, lo (in the text), n, bucket, context, at (of the q-gram, from lo) of all starts in texts
+    """text number, lo (in the text), n, bucket, context of all starts in texts
     that lie one after another in data, offsets[i] to offsets[i + 1]."""
     w, found = length - q + 1, []
     begin, end = int(offsets[0]), int(offsets[-1])
@@ -77,7 +93,7 @@ def ranges(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int =
         if len(part) >= length:
             found.append(_segment(part, begin, stop - begin, offsets, length, q, w))
         begin = stop
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 6
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 5
 
 
 def _segment(part: np.ndarray, begin: int, most: int, offsets: np.ndarray, length: int, q: int, w: int) -> tuple[np.ndarray, ...]:
@@ -103,9 +119,15 @@ def _segment(part: np.ndarray, begin: int, most: int, offsets: np.ndarray, lengt
     stops = np.flatnonzero(np.concatenate((new | ~ok, [True])))
     n = stops[np.searchsorted(stops, lo, "right")] - lo
     p = at[lo]
-    whole = (sums[lo + n - 1 + length] - sums[lo]) * down[lo]
-    context = _mix(whole + _mix((n * 4096 + (p - lo)).astype(np.uint64)))
-    return own[lo], lo + begin - offsets[own[lo]], n, grams[p].view(np.int64), context.view(np.int64), p - lo
+    last = lo + n - 1 + length
+    depth, ids = q, grams
+    while 2 * depth <= length:
+        ids = _join(ids, depth)
+        depth *= 2
+    context = _mix((n * 4096 + (p - lo)).astype(np.uint64))
+    for k in range(-(-(length + w - 1) // depth)):
+        context = _mix(context + ids[np.minimum(lo + k * depth, last - depth)])
+    return own[lo], lo + begin - offsets[own[lo]], n, grams[p].view(np.int64), context.view(np.int64)
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,18 +143,68 @@ def _map_ranges(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = _texts(b.column(1))
-            own, lo, n, bucket, context, at = ranges(data, off, length, q)
+            own, lo, n, bucket, context = ranges(data, off, length, q)
             k = b.column(0).to_numpy(zero_copy_only=False)[own] if len(own) else own
-            cols = [pa.array(k, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(bucket), pa.array(context), pa.array(at.astype(np.int16))]
-            yield pa.RecordBatch.from_arrays(cols, ["_k", "lo", "n", "h", "c", "at"])
+            cols = [pa.array(k, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(bucket), pa.array(context)]
+            yield pa.RecordBatch.from_arrays(cols, ["_k", "lo", "n", "h", "c"])
 
     return run
 
 
-def _window_ids(data: np.ndarray, length: int) -> np.ndarray:
-    """The identifier of the length bytes at each start."""
+def _window_ids(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two identifiers of the length bytes at each start."""
     sums, (_, down) = _sums(data), _power(len(data) + 1)
-    return _mix((sums[length:] - sums[:-length]) * down[: len(sums) - length])
+    ids = _mix((sums[length:] - sums[:-length]) * down[: len(sums) - length])
+    depth = 1
+    second = _TABLE[data]
+    while 2 * depth <= length:
+        second = _join(second, depth)
+        depth *= 2
+    return ids, _mix(second[: len(ids)] + _mix(second[length - depth :]))
+
+
+def refine(data: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of length bytes at each position of data occurs at another position as well, within
+    the texts off[i] to off[i + 1]; False where a text is over sooner. By bucket-pointer refinement: a pointer
+    is the place in the suffix order where the bucket begins."""
+    size = len(data)
+    twice = np.zeros(size, bool)
+    if size < length:
+        return twice
+    room = np.repeat(off[1:], np.diff(off)) - np.arange(size)  # bytes from here to the end of the text
+    depth = 1
+    key = data.astype(np.uint64)
+    while 2 * depth <= min(8, length):  # the bytes themselves are the first pointers
+        key[:-depth] = (key[:-depth] << np.uint64(8 * depth)) | key[depth:]
+        depth *= 2
+    active = np.flatnonzero(room >= depth)
+    pointer = np.zeros(size, np.uint64)
+    base = np.zeros(len(active), np.uint64)
+    key = key[active]
+    while True:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(order)))
+        group = np.repeat(starts, sizes)
+        where = active[order]
+        if depth == length:
+            twice[where] = np.repeat(sizes > 1, sizes)
+            return twice
+        b = base[order]
+        head = np.concatenate(([True], b[1:] != b[:-1]))
+        first = np.repeat(np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(order))))
+        pointer[where] = b + (group - first).astype(np.uint64)
+        # the next round: what isn't alone, by the pointers of this depth at a later offset
+        step = min(depth, length - depth)
+        active = np.sort(where[np.repeat(sizes > 1, sizes)])
+        active = active[room[active] >= depth + step]
+        if not len(active):
+            return twice
+        base = pointer[active]
+        key = (base << np.uint64(32)) | pointer[active + step]
+        depth += step
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -140,32 +212,14 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
 
 
-def _starts(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each start of each context: the row, its offset from the q-gram, its identifier."""
-    data, off = _texts(b.column("bytes"))
-    n, at = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64), b.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = []
-    for i in range(0, len(n), 2000):
-        a, z = off[i], off[min(i + 2000, len(n))]
-        got = _window_ids(data[a:z], length)
-        ids += [got[off[j] - a : off[j] - a + n[j]] for j in range(i, min(i + 2000, len(n)))]
-    row = np.repeat(np.arange(len(n)), n)
-    delta = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - np.repeat(at, n)
-    return row, delta, np.concatenate(ids) if ids else np.zeros(0, np.uint64)
-
-
 def _compare(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """The runs of repeated starts of each context, in a batch of whole buckets."""
-    row, delta, ids = _starts(t, length)
-    h = t.column("h").to_numpy(zero_copy_only=False).view(np.uint64)[row]
-    key = _mix(ids + _mix(h + delta.astype(np.uint64) * _MIX))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    ends = np.searchsorted(row, np.arange(t.num_rows + 1))
-    runs = [_runs(twice[ends[i] : ends[i + 1]]) for i in range(t.num_rows)]
+    data, off = _texts(t.column("bytes"))
+    twice = refine(data[off[0] : off[-1]], off - off[0], length)
+    n = t.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    at = (off - off[0]).tolist()
+    # a context of repeated text has many runs, others have one or two
+    runs = [_runs(twice[a : a + k]) for a, k in zip(at, n.tolist())]
     return pa.RecordBatch.from_arrays([t.column("h"), t.column("c"), pa.array(runs, pa.list_(pa.int32()))], ["h", "c", "runs"])
 
 
@@ -173,6 +227,16 @@ def _map_compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def each(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Some thousand contexts at once, never a part of a bucket."""
+            h = t.column("h").to_numpy()
+            edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            first = 0
+            for e, following in zip(edges[1:], [*edges[2:], len(h) + 4000]):
+                if following - first > 4000:
+                    yield _compare(t.slice(first, e - first), length)
+                    first = e
+
         def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -185,10 +249,10 @@ def _map_compare(length: int):
             t = whole(held)
             h = t.column("h").to_numpy()
             cut = len(h) - int(np.argmax(h[::-1] != h[-1]))
-            yield _compare(t.slice(0, cut), length)
+            yield from each(t.slice(0, cut))
             held = [t.slice(cut)]
         if held:
-            yield _compare(whole(held), length)
+            yield from each(whole(held))
 
     return run
 
@@ -196,39 +260,67 @@ def _map_compare(length: int):
 def _map_starts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, delta, ids = _starts(b, length)
-            at = b.column("at").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            cols = [b.column("h").take(pa.array(row)), b.column("c").take(pa.array(row)), pa.array((delta + at).astype(np.int32)), pa.array(delta.astype(np.int32)), pa.array(ids.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "c", "start", "delta", "id"])
+            for i in range(0, b.num_rows, 2000):
+                t = b.slice(i, 2000)
+                data, off = _texts(t.column("bytes"))
+                n = t.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                a, z = (x[off[row] - off[0] + start] for x in _window_ids(data[off[0] : off[-1]], length))
+                cols = [t.column("h").take(pa.array(row)), t.column("c").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(z.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "c", "start", "id", "id2"])
 
     return run
 
 
+def _squeezed(df: DataFrame, text: str) -> DataFrame:
+    """df with the text column as compressed bytes and its size (_size, null for null) last, for a shuffle."""
+    at = df.columns.index(text)
+    schema = StructType([f if f.name != text else StructField(text, BinaryType()) for f in df.schema.fields]).add("_size", IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            raw = [x.as_buffer() if x.is_valid else None for x in b.column(at)]
+            cols = list(b.columns)
+            cols[at] = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([None if x is None else x.size for x in raw], pa.int32())], [*b.schema.names, "_size"])
+
+    return df.mapInArrow(run, schema)
+
+
+_CODEC = pa.Codec("zstd")
+
+
+def _text(squeezed: bytes | None, size: int | None) -> bytes:
+    return b"" if not size else _CODEC.decompress(squeezed, decompressed_size=size, asbytes=True)
+
+
 def _map_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts named in wanted, cut out of their text."""
     for b in batches:
-        h, c, n, at, out = [], [], [], [], []
-        for text, wanted in zip(b.column(0), b.column(1)):
-            raw = memoryview(text.as_py() or b"")
+        h, c, n, out = [], [], [], []
+        for text, size, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            raw = memoryview(_text(text, size))
             for x in wanted.as_py():
-                h.append(x["h"]), c.append(x["c"]), n.append(x["n"]), at.append(x["at"])
+                h.append(x["h"]), c.append(x["c"]), n.append(x["n"])
                 out.append(bytes(raw[x["lo"] : x["lo"] + x["n"] + x["more"]]))
-        cols = [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int16()), pa.array(at, pa.int16()), pa.array(out, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["h", "c", "n", "at", "bytes"])
+        cols = [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int16()), pa.array(out, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "c", "n", "bytes"])
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """_k, spans (array of struct of s and e) of the texts (_k, text) that hold bytes to remove, as a written
     table. Spans may overlap and touch."""
     texts = keyed.select("_k", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    r = materialise(texts.mapInArrow(_map_ranges(length, q), "_k long, lo int, n short, h long, c long, at short"))
+    r = materialise(texts.mapInArrow(_map_ranges(length, q), "_k long, lo int, n short, h long, c long"))
     buckets = r.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 1").select("h", (F.col("c0") == F.col("c1")).alias("same"))
     met = materialise(r.join(buckets, "h"))
     discard(r)
     differ = met.where("not same")
-    contexts = materialise(differ.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("_k", "lo", "n", "at")).alias("x")))
-    wanted = contexts.groupBy(F.col("x._k").alias("_k")).agg(F.collect_list(F.struct("h", "c", "x.lo", "x.n", "x.at", F.lit(length - 1).alias("more"))).alias("wanted"))
-    cut = texts.join(wanted, "_k").select(F.col("text").cast("binary"), "wanted").mapInArrow(_map_cut, "h long, c long, n short, at short, bytes binary")
+    contexts = materialise(differ.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("_k", "lo", "n")).alias("x")))
+    wanted = contexts.groupBy(F.col("x._k").alias("_k")).agg(F.collect_list(F.struct("h", "c", "x.lo", "x.n", F.lit(length - 1).alias("more"))).alias("wanted"))
+    cut = _squeezed(texts, "text").join(wanted, "_k").select("text", "_size", "wanted").mapInArrow(_map_cut, "h long, c long, n short, bytes binary")
     many = contexts.groupBy("h").count().where(F.col("count") > hot).select("h")
     cut = materialise(cut)
     many = materialise(many)
@@ -238,9 +330,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, q: int = Q, hot: int
     spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct(F.element_at("runs", i + 1).alias("a"), F.element_at("runs", i + 2).alias("z")))
     found = runs.select("h", "c", F.explode(spans).alias("v")).select("h", "c", "v.a", "v.z")
     if some:
-        each = cut.join(many, "h", "left_semi").mapInArrow(_map_starts(length), "h long, c long, start int, delta int, id long")
-        twice = each.groupBy("h", "delta", "id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        found = found.union(each.join(twice, ["h", "delta", "id"]).select("h", "c", F.col("start").alias("a"), (F.col("start") + 1).alias("z")))
+        each = cut.join(many, "h", "left_semi").mapInArrow(_map_starts(length), "h long, c long, start int, id long, id2 long")
+        twice = each.groupBy("h", "id", "id2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        found = found.union(each.join(twice, ["h", "id", "id2"]).select("h", "c", F.col("start").alias("a"), (F.col("start") + 1).alias("z")))
     full = met.where("same").select("_k", "lo", F.col("n").cast("int").alias("n"))
     copies = contexts.where("m > 1").select("h", "c")
     full = full.union(differ.join(copies, ["h", "c"]).select("_k", "lo", F.col("n").cast("int")))
@@ -272,8 +364,8 @@ def _kept(raw: bytes, runs: list[list[int]]) -> bytes:
 def _map_report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text, spans in zip(b.column(1), b.column(2)):
-            raw, runs = (text.as_py() or "").encode(), _merged(spans.as_py())
+        for text, size, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            raw, runs = _text(text, size), _merged(spans.as_py())
             rows.append((len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
         size, removed, runs, sha = list(zip(*rows)) or [()] * 4
         cols = [b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
@@ -289,22 +381,24 @@ def report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) ->
     """
     keyed = with_key(only(docs, "doc_id", "text"))
     spans = repeated_spans(keyed, length, q, hot)
-    rows = keyed.select("_k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, "_k", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_map_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _squeezed(keyed.select("_k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text").join(spans, "_k", "left")
+    return rows.select("doc_id", "text", "_size", "spans").mapInArrow(_map_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @guarded
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """docs with the repeated bytes gone from text; n_chars, where there is one, follows. No row is dropped.
-    A character that is cut in the middle goes too, as text has to stay text."""
+    A character that is cut in the middle goes too, as text has to stay text. Null text stays null, an empty one
+    empty; repeated rows lose all they have, if they are long enough. Empty table: no rows."""
     keyed = with_key(docs)
     spans = repeated_spans(keyed, length, q, hot).withColumnRenamed("spans", "_spans")
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None or not len(s) else _kept(t.encode(), _merged(list(s))).decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
+    def cut(text: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _kept(_text(t, int(n)), _merged(list(s) if s is not None else None)).decode("utf-8", "ignore") for t, n, s in zip(text, size, spans)], dtype=object)
 
-    out = keyed.join(spans, "_k", "left").withColumn("text", cut(F.col("text").cast("string"), "_spans"))
+    squeezed = _squeezed(keyed.withColumn("text", F.col("text").cast("string")), "text")
+    out = squeezed.join(spans, "_k", "left").withColumn("text", cut("text", "_size", "_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
