@@ -1,9 +1,8 @@
 """Byte-level BPE: exact token counts per distinct pre-token, and encoding by a rank queue.
 
-``token_counts`` needs no ids: the pieces of each distinct pre-token are counted once, that table is joined
-to the pre-token frequencies of each document, and the products are summed. Both sides of the join belong to
-one block of documents in a task, which remembers counts from block to block; a join across tasks would
-shuffle a row for every document and pre-token, several times the corpus.
+``token_counts`` keeps no ids: the pieces of each distinct pre-token of the corpus are counted once, that table
+is joined to the pre-token frequencies of each document, and the products are summed. The HEAD most frequent
+pre-tokens, most of a text, are joined in the task that reads it; only the others are shuffled.
 
 ``encode`` merges the parts of a pre-token with a queue of merge ranks: one bucket per rank holds the
 positions whose pair has that rank, a hierarchy of bitmaps (64 bits a word) over the buckets gives the least
@@ -15,8 +14,9 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from heapq import heappop, heappush
+from itertools import repeat
 from operator import mul
 
 import numpy as np
@@ -24,77 +24,157 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
 from tokenizers import Tokenizer
 
-from .common import only
+from .common import discard, materialise, only, with_key
 
-#: Pre-tokens remembered by a worker; beyond, the memory begins anew.
-MEMORY = 1_500_000
+#: Pre-tokens that go to every task; bytes beyond which one is known by its digest, which bounds that in bytes.
+HEAD, LONG = 1 << 18, 64
+#: Different pre-tokens that a task counts before it hands them on.
+FLUSH = 300_000
+#: Pre-tokens of up to LONG bytes that the encoder of a task remembers; beyond, the memory begins anew.
+MEMORY = 400_000
 
 
 # --- counts ------------------------------------------------------------------------------------------
 
 
-class PieceCounts(dict):
-    """Pre-token -> number of its pieces."""
+class Pretokens:
+    """Texts to pre-tokens, special tokens apart; the library's number of pieces of a pre-token."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
         self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
 
-    def learn(self, new: list[str]) -> None:
-        """Between line feeds a pre-token splits as it does alone, unless it is white space itself."""
-        plain = [w for w in new if not w.isspace()]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            e = self.tokenizer.encode("\n".join(["", *part]), add_special_tokens=False)
+    def of(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text and how many special tokens it has."""
+        if not any(s in text for s in self.special):
+            return self.split(text), 0
+        parts = self.cut(text)
+        return [w for p in parts for w in self.split(p)], len(parts) - 1
+
+    def pieces(self, words: list[str]) -> list[int]:
+        """Between line feeds a pre-token splits as it does alone, unless it is white space itself; where that
+        doesn't hold, each is encoded alone."""
+        out = np.zeros(len(words), np.int64)
+        alone = [i for i, w in enumerate(words) if w.isspace() or w in self.special]
+        plain = [i for i, w in enumerate(words) if not (w.isspace() or w in self.special)]
+        if plain:
+            e = self.tokenizer.encode("\n".join(["", *map(words.__getitem__, plain)]), add_special_tokens=False)
             n = np.bincount(np.array(e.word_ids, np.int64))[1::2]
-            if len(n) != len(part):
-                raise ValueError("pre-tokens don't split the same way alone")
-            self.update(zip(part, n.tolist()))
-        if blank := [w for w in new if w.isspace()]:
-            self.update(zip(blank, (len(e.ids) for e in self.tokenizer.encode_batch(blank, add_special_tokens=False))))
-
-    def count(self, texts: list[str]) -> list[int]:
-        if len(self) > MEMORY:
-            self.clear()
-        freqs, extra = [], []
-        for t in texts:
-            parts = self.cut(t) if self.cut and any(s in t for s in self.special) else [t]
-            extra.append(len(parts) - 1)
-            freqs.append(Counter(w for p in parts for w in self.split(p)) if len(parts) > 1 else Counter(self.split(t)))
-        if new := [w for w in set().union(*freqs) if w not in self]:
-            self.learn(new)
-        return [n + sum(map(mul, map(self.__getitem__, f), f.values())) for n, f in zip(extra, freqs)]
-
-
-def _map_counts(path: str, pattern: str, group: int = 256):
+            if len(n) == len(plain):
+                out[plain] = n
+            else:
+                alone = list(range(len(words)))
+        if alone:
+            out[alone] = [len(e.ids) for e in self.tokenizer.encode_batch([words[i] for i in alone], add_special_tokens=False)]
+        return out.tolist()
+
+
+def name_of(word: str) -> bytes:
+    """What a pre-token is known by: its bytes, a long one's digest behind a byte that no text has."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return raw if len(raw) <= LONG else b"\xff" + blake2b(raw, digest_size=32).digest()
+
+
+def _map_distinct(path: str, pattern: str):
+    """Pre-tokens with their number, each once for FLUSH different ones of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts, size = None, Counter(), 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+
+        for b in batches:
+            own = own or Pretokens(path, pattern)
+            for t in b.column(0):
+                text = t.as_py() or ""
+                counts.update(own.of(text)[0])
+                size += len(text)
+                if len(counts) > FLUSH or size > FLUSH * 100:
+                    yield out()
+                    counts.clear()
+                    size = 0
+        if counts:
+            yield out()
+
+    return run
+
+
+def _map_pieces(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            own = own or Pretokens(path, pattern)
+            words = [w.decode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, words)), pa.binary()), b.column(1), pa.array(own.pieces(words), pa.int64())], ["word", "c", "pieces"])
+
+    return run
+
+
+def piece_table(texts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """word (its name), c, pieces of each distinct pre-token of the texts (one column), as a written table."""
+    distinct = texts.mapInArrow(_map_distinct(path, pattern), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return materialise(distinct.mapInArrow(_map_pieces(path, pattern), "word binary, c long, pieces long"))
+
+
+def _map_sums(path: str, pattern: str, head: dict[bytes, int]):
+    """Per document: the pieces of its pre-tokens that the head has, and those that are still to be joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        own, known = None, None
         for b in batches:
-            counts = counts if counts is not None else PieceCounts(path, pattern)
-            size, n = [], []
-            for i in range(0, b.num_rows, group):
-                texts = [t or "" for t in b.column(1).slice(i, group).to_pylist()]
-                n += counts.count(texts)
-                size += [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            if own is None:
+                own, known = Pretokens(path, pattern), {w.decode("utf-8", "surrogatepass"): n for w, n in head.items() if w[:1] != b"\xff"}
+                long = {w: n for w, n in head.items() if w[:1] == b"\xff"}
+            size, total, rare, times, ends = [], [], [], [], [0]
+            for t in b.column(2):
+                text = t.as_py() or ""
+                words, extra = own.of(text)
+                freq = Counter(words)
+                n = extra + sum(map(mul, map(known.get, freq, repeat(0)), freq.values()))
+                for w in freq.keys() - known.keys():
+                    name = name_of(w)
+                    if name in long:
+                        n += long[name] * freq[w]
+                    else:
+                        rare.append(name)
+                        times.append(freq[w])
+                size.append(len(text.encode("utf-8", "surrogatepass")))
+                total.append(n)
+                ends.append(len(rare))
+            entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["_k", "doc_id", "n_bytes", "n", "rare"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
     Strings of special tokens inside a text count as one token each, the library's default. Null or empty
     text: no tokens. A null doc_id is passed on, repeated rows are counted each. Empty table: no rows. Other
     columns aren't read.
     """
-    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_map_counts(path, pattern), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    texts = with_key(only(docs, "doc_id", "text")).select("_k", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = piece_table(texts.select("text"), path, pattern)
+    # all pre-tokens of at least some frequency go to every task, head at most; the rest is joined
+    level = F.floor(F.log2("c") * 16)
+    left, cut = head, 1 << 30
+    for row in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= row[1]
+        if left < 0:
+            break
+        cut = row[0]
+    known = {bytes(r[0]): r[1] for r in table.where(level >= cut).select("word", "pieces").collect()}
+    done = materialise(texts.mapInArrow(_map_sums(path, pattern, known), "_k long, doc_id long, n_bytes long, n long, rare array<struct<w:binary,n:long>>"))
+    each = done.where(F.size("rare") > 0).select("_k", F.explode("rare").alias("x")).select("_k", F.col("x.w").alias("word"), F.col("x.n").alias("times"))
+    late = materialise(each.join(table.where(level < cut).select("word", "pieces"), "word").groupBy("_k").agg(F.sum(F.col("times") * F.col("pieces")).alias("late")))
+    discard(table)
+    n = F.col("n") + F.coalesce("late", F.lit(0))
+    return done.drop("rare").join(late, "_k", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 # --- encoding ----------------------------------------------------------------------------------------
@@ -119,9 +199,7 @@ class RankEncoder:
         self.known: dict[str, bytes] = {}
 
     @classmethod
-    @lru_cache(maxsize=2)
     def from_file(cls, path: str, pattern: str) -> "RankEncoder":
-        """One for all tasks of a worker, with the pre-tokens it knows."""
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
@@ -207,10 +285,11 @@ class RankEncoder:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
+            long = {}
             for w in set(words):
                 if w not in known:
-                    known[w] = np.array(self.merge(w.encode()), "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+                    (known if len(w) <= LONG else long)[w] = np.array(self.merge(w.encode()), "<u4").tobytes()
+            return b"".join([known[w] if w in known else long[w] for w in words] if long else map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -240,18 +319,3 @@ def encoding_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_map_encode(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a column ids, an array of longs; a column of that name is replaced."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for b in batches:
-            encoder = encoder or RankEncoder.from_file(path, pattern)
-            ids = [np.frombuffer(encoder.encode(t.as_py() or ""), "<u4").astype(np.int64) for t in b.column("text")]
-            arrays = list(b.columns) + [pa.array(ids, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "ids"])
-
-    rest = docs.drop("ids")
-    return rest.mapInArrow(run, StructType([*rest.schema.fields]).add("ids", ArrayType(LongType())))
