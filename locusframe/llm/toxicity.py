@@ -1,13 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become class symbols: insult, threat, target, negation, reporting verb, anything else. Four sequential
-transducers over these symbols are composed: negation marks insults and threats that follow a negation,
-reported speech marks those after a reporting verb or a quote, target marks those near an addressed person,
-and the last names the pattern. A clause is worth the patterns it matches, not its words; the weights of the
-patterns are learned by logistic regression, those of insult stems are log odds in the training rows.
-
-Training looks at up to MAX_TRAIN rows of each label, chosen by a hash of their id. Scoring reads all rows
-and whole texts.
+A clause is read by a composition of transducers. The insult transducer reads words and writes symbols: an
+insult with its weight, a verb that threatens, intent, a target, negation, a reporting verb or quote, anything
+else. The target transducer reads them from right to left and from left to right and marks what is aimed at
+somebody. The threat transducer makes a threat of a verb that follows intent or is aimed; a verb alone is none.
+The negation and the reported-speech transducers mark insults and threats that follow either. The last one names
+the gravest pattern of the clause and gives it the weight of its heaviest arc. What is scored are clauses by
+their pattern and the weight of their match, never words: a clause counts once, however many it has.
+
+The weights of the patterns are learned by logistic regression, those of insult stems are log odds in the
+training rows. Training looks at up to MAX_TRAIN rows of each label with texts of up to MAX_CHARS, chosen by a
+hash of their id. Scoring reads all rows and whole texts, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import exp, log, log1p
 
@@ -27,28 +30,35 @@ from pyspark.sql import functions as F
 
 from .common import guarded, only
 
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_CHARS = 3000, 20_000
 THRESHOLD = 0.3
+#: Words at most between a mark's cause and what it marks.
+AIM, NEGATE, REPORT, INTENT = 6, 3, 6, 5
 #: Classes of words that the grammar knows beforehand, in the languages of the corpus; insults are learned.
 LEXICON = {
-    "threat": "kill hurt destroy murder smash stab beat shoot burn töten umbringen zerstören schlagen verletzen tuer frapper détruire brûler matar golpear destruir quemar",
+    "verb": "kill hurt destroy murder smash stab beat shoot burn töten umbringen zerstören schlagen verletzen tuer frapper détruire brûler matar golpear destruir quemar",
+    "intent": "will gonna going must should shall let want werde werden soll muss vais va dois veux voy vas debes quiero",
     "target": "you your yours yourself u du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted ustedes vosotros",
     "negation": "not no never none isn't aren't don't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna",
     "report": "said says say called calls wrote claimed told reported quoted sagte sagt nannte schrieb behauptete dit disait appelé écrit dijo dice llamó escribió",
 }
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
-_SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
+#: Weight of a threat, in the unit of the insults' log odds.
+THREAT = 5.0
 
+#: Symbols: class, weight, marks in order of the alphabet.
+Symbol = tuple[str, float, tuple[str, ...]]
 
-# --- transducers -------------------------------------------------------------------------------------
+
+# --- transducers ---
 
 
 class Transducer:
-    """A sequential letter transducer: step(state, symbol) -> (state, output). Symbols are tuples of a class and marks."""
+    """A sequential transducer: step(state, symbol) -> (state, output). memory: steps remembered."""
 
-    def __init__(self, step, start=0):
-        self.step, self.start = lru_cache(maxsize=None)(step), start
+    def __init__(self, step: Callable, start=0, memory: int | None = None):
+        self.step, self.start = lru_cache(maxsize=memory)(step), start
 
     def __matmul__(self, other: "Transducer") -> "Transducer":
         """Composition: other reads what self writes."""
@@ -58,7 +68,7 @@ class Transducer:
             b, out = other.step(state[1], out)
             return (a, b), out
 
-        return Transducer(step, (self.start, other.start))
+        return Transducer(step, (self.start, other.start), 1 << 16)
 
     def run(self, symbols: Iterable) -> list:
         state, out = self.start, []
@@ -68,33 +78,73 @@ class Transducer:
         return out
 
 
-def _marks(trigger: str, reach: int, mark: str) -> Transducer:
-    """Marks insults and threats at most reach words after a trigger."""
+def marking(trigger: str, reach: int, mark: str, kinds: tuple[str, ...] = ("insult", "threat")) -> Transducer:
+    """Marks symbols of these kinds at most reach words after a trigger."""
 
-    def step(left, symbol):
-        kind = symbol[0]
-        if kind == trigger:
-            return reach, symbol
-        if left and kind in ("insult", "threat"):
-            return left - 1, (*symbol, mark)
-        return max(0, left - 1), symbol
+    def step(left: int, s: Symbol):
+        if s[0] == trigger:
+            return reach, s
+        if left and s[0] in kinds:
+            s = (s[0], s[1], tuple(sorted({*s[2], mark})))
+        return max(0, left - 1), s
 
     return Transducer(step)
 
 
-def _pattern() -> Transducer:
-    """Names the pattern of an insult or threat; nothing else is written. A mark counts once."""
-    return Transducer(lambda state, s: (state, "+".join([s[0], *sorted(set(s[1:]))]) if s[0] in ("insult", "threat") else ""))
+def insults(weight: Callable[[str], float]) -> Transducer:
+    """Words to symbols; weight: of a word as an insult, zero for others."""
+    classes = {w: k for k, ws in LEXICON.items() for w in ws.split()}
 
+    def step(state: int, word: str):
+        if value := weight(word):
+            return state, ("insult", value, ())
+        return state, ("report" if not word[0].isalpha() else classes.get(word, "other"), 0.0, ())
+
+    return Transducer(step, 0, 1 << 16)
 
-def grammar() -> Transducer:
-    return _marks("negation", 3, "negated") @ _marks("report", 6, "reported") @ _marks("target", 6, "aimed") @ _pattern()
+
+def threats() -> Transducer:
+    """A verb at most INTENT words after intent, or aimed, is a threat."""
+
+    def step(left: int, s: Symbol):
+        if s[0] == "intent":
+            return INTENT, s
+        if s[0] == "verb" and (left or "aimed" in s[2]):
+            s = ("threat", THREAT, s[2])
+        return max(0, left - 1), s
+
+    return Transducer(step)
 
 
 PATTERNS = ["+".join([k, *[m for m, on in zip(("aimed", "negated", "reported"), (a, b, c)) if on]]) for k in ("insult", "threat") for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+#: From the mildest to the gravest: reported and negated ones first, then what isn't aimed, then insults.
+GRAVITY = {p: i for i, p in enumerate(sorted(PATTERNS, key=lambda p: ("reported" not in p, "negated" not in p, "aimed" in p, p.startswith("threat"))))}
+
+
+def clauses() -> Transducer:
+    """Writes the gravest pattern so far and the heaviest weight of it; None before any."""
+
+    def step(best, s: Symbol):
+        if s[0] in ("insult", "threat"):
+            found = (GRAVITY["+".join([s[0], *s[2]])], s[1])
+            best = found if best is None else max(best, found)
+        return best, best
+
+    return Transducer(step, None)
 
 
-# --- model -------------------------------------------------------------------------------------------
+BACKWARD = marking("target", AIM, "aimed", ("insult", "verb"))
+
+
+def grammar() -> Transducer:
+    """What reads the symbols of a clause after BACKWARD, from left to right."""
+    return marking("target", AIM, "aimed", ("insult", "verb")) @ threats() @ marking("negation", NEGATE, "negated") @ marking("report", REPORT, "reported") @ clauses()
+
+
+_NAMES = sorted(GRAVITY, key=GRAVITY.get)
+
+
+# --- model ---
 
 
 class Model:
@@ -110,57 +160,48 @@ class Model:
     def _scanner(self):
         if "_auto" not in self.__dict__:
             self._auto = ahocorasick.Automaton()
-            for w in {*self.stems, *self.words, *LEXICON["threat"].split()}:
+            for w in {*self.stems, *self.words, *LEXICON["verb"].split()}:
                 self._auto.add_word(w, len(w))
-            self._classes = {w: k for k, ws in LEXICON.items() for w in ws.split()}
-            self._grammar = grammar()
-            if len(self._auto):
-                self._auto.make_automaton()
+            self._insults, self._grammar = insults(self.insult), grammar()
+            self._auto.make_automaton()
         return self._auto
 
     def insult(self, word: str) -> float:
         if w := self.words.get(word):
             return w
-        for n in range(len(word), 3, -1):
+        for n in range(min(len(word), 8), 3, -1):
             if w := self.stems.get(word[:n]):
                 return w
         return 0.0
 
+    def clause(self, words: list[str]) -> tuple[str, float] | None:
+        """Pattern and weight of a clause's match."""
+        self._scanner()
+        symbols = BACKWARD.run(reversed(self._insults.run(words)))[::-1]
+        best = self._grammar.run(symbols)[-1] if symbols else None
+        return best and (_NAMES[best[0]], best[1])
+
     def features(self, text: str | None) -> np.ndarray:
-        """log(1 + n) of the clauses' patterns, and of their insults' weights. Empty text: zeros."""
+        """log(1 + n) of the clauses of each pattern, and of the weights of all. Empty text: zeros."""
         out = np.zeros(len(PATTERNS) + 1)
         low, auto = (text or "").lower(), self._scanner()
-        if not low or not len(auto):
-            return out
-        found, strength, done = Counter(), 0.0, -1
+        found, strength, done = Counter(), 0.0, 0
         for end, n in auto.iter(low):
             at = end - n + 1
             if at < done or at and low[at - 1].isalpha():
                 continue
-            left = max((low.rfind(c, 0, at) for c in ".!?;:\n"), default=-1) + 1
+            # a clause begins behind the last one that was read at the soonest, so no text is searched twice
+            left = max(done, *(low.rfind(c, done, at) + 1 for c in ".!?;:\n"))
             m = _CLAUSE.search(low, at)
             done = m.start() if m else len(low)
-            symbols, weights = [], []
-            for w in _WORD.findall(low, left, done):
-                value = self.insult(w)
-                kind = "insult" if value else "report" if not w[0].isalpha() else self._classes.get(w, "other")
-                symbols.append((kind,))
-                weights.append(value)
-            for p, v in zip(self._target_both_ways(symbols), weights):
-                if p:
-                    found[p] += 1
-                    strength += v
+            if match := self.clause(_WORD.findall(low, left, done)):
+                found[match[0]] += 1
+                strength += match[1]
         for i, p in enumerate(PATTERNS):
             out[i] = log1p(found[p])
         out[-1] = log1p(strength)
         return out
 
-    def _target_both_ways(self, symbols: list) -> list[str]:
-        """A target after the insult aims it as well: "idiot, you ..."; the clause is read once each way."""
-        ahead = self._grammar.run(symbols)
-        late = _BACK.run(reversed(symbols))[::-1]
-        return ["+".join([p.split("+")[0], *sorted({*p.split("+")[1:], "aimed"})]) if p and len(s) > 1 else p for p, s in zip(ahead, late)]
-
     def score(self, text: str | None) -> float:
         z = float(self.features(text) @ self.weights) + self.bias
         return 1 / (1 + exp(-max(-60.0, min(60.0, z))))
@@ -182,9 +223,6 @@ class Model:
         return self
 
 
-_BACK = _marks("target", 6, "aimed")
-
-
 def one_of_copies(texts: list[str], bins: int = 8, agree: int = 3) -> list[str]:
     """One text of each group of near copies: those with agree of bins least shingle hashes in common. What a
     text often copied says would else pass for a sign of its label."""
@@ -253,8 +291,9 @@ def learn_lexicon(pos: list[str], neg: list[str], margin: float = 12.0, least_od
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn from labelled rows outside the held-out fold; at most max_train of each label, read by the driver.
 
-    Rows without an id, label or text teach nothing. Of an id's texts, the least counts, so that no number of
-    repeated rows comes to the driver.
+    Rows without an id, label or text, and those with a text of more than MAX_CHARS, teach nothing. Of an id's
+    texts, the least counts, so that no number of repeated rows comes to the driver. Of rows with the same
+    hash the lesser id comes first.
     """
     ids = only(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
     counts = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
@@ -265,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         part = ids.where((F.col("toxic") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         some = part if some is None else some.union(part)
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    rows = texts.join(F.broadcast(some), "doc_id").where(F.length("text") <= MAX_CHARS).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     got: dict[int, list] = defaultdict(list)
     for doc_id, text, y in rows.collect():
         got[y].append((doc_id, text))
@@ -299,7 +338,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """doc_id, held_out, score, predicted for each row of docs.
 
     Null or empty text: the score of a text without matches. Null doc_id: not held out. Repeated rows are
-    scored each. Empty tables: no rows; without labels the score is the prior's. Other columns aren't read.
+    scored each. Texts with the same matches have the same score; one of exactly THRESHOLD is predicted toxic. Empty tables: no rows; without labels the score is the prior's. Other columns aren't read.
     """
     model = train(docs, labels, max_train)
     scored = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_mapper(model, False), "doc_id long, score double")
@@ -308,6 +347,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 @guarded
 def keep_clean(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs without the rows predicted toxic; columns as they are (one has to be called text)."""
+    """docs without the rows predicted toxic; columns as they are (one has to be called text). Null or empty
+    text stays, unless most rows are toxic; repeated rows go or stay together. Empty table: no rows."""
     model = train(docs, labels, max_train)
     return docs.mapInArrow(_mapper(model, True), docs.schema)

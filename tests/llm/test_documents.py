@@ -249,6 +249,55 @@ def test_lm_scores(docs, rows):
         assert any(g["n_tokens"] == len(ws) and g["n_known"] == sum(c[w] > 0 for w in ws) and g["train_tokens"] == n and g["held_out"] == held(r[0]) and abs(g["base_score"] - base) < 1e-6 * max(1, -base) and g["score"] < 0 for g in got[r[0]])
 
 
+def test_toxic_clauses_match_as_defined():
+    import random
+
+    model = toxicity.Model({"blorg": 4.0}, {"idiot": 6.0, "clown": 5.0})
+    classes = {w: k for k, ws in toxicity.LEXICON.items() for w in ws.split()}
+    alphabet = ["idiot", "clown", "blorghead", "kill", "hurt", "will", "you", "your", "not", "said", '"', "tree", "house", "sky"]
+
+    def plain(words):
+        kind = ["insult" if model.insult(w) else "report" if w == '"' else classes.get(w, "other") for w in words]
+        near = lambda i, k, lo, hi: any(kind[j] == k for j in range(max(0, i - lo), min(len(words), i + hi + 1)) if j != i)
+        best = None
+        for i, w in enumerate(words):
+            aimed = near(i, "target", toxicity.AIM, toxicity.AIM)
+            if kind[i] == "verb" and (aimed or near(i, "intent", toxicity.INTENT, 0)):
+                name, weight = "threat", toxicity.THREAT
+            elif kind[i] == "insult":
+                name, weight = "insult", model.insult(w)
+            else:
+                continue
+            marks = [m for m, on in (("aimed", aimed), ("negated", near(i, "negation", toxicity.NEGATE, 0)), ("reported", near(i, "report", toxicity.REPORT, 0))) if on]
+            found = (toxicity.GRAVITY["+".join([name, *marks])], weight)
+            best = found if best is None else max(best, found)
+        return best and ({v: k for k, v in toxicity.GRAVITY.items()}[best[0]], best[1])
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        words = [rng.choice(alphabet) for _ in range(rng.randint(0, 14))]
+        assert model.clause(words) == plain(words), words
+    text = "The tree, idiot\nsaid: you clown! kill"
+    want = np.zeros(len(toxicity.PATTERNS) + 1)
+    for p in ("insult", "insult+aimed"):
+        want[toxicity.PATTERNS.index(p)] = np.log1p(1)
+    want[-1] = np.log1p(6.0 + 5.0)
+    assert np.allclose(model.features(text), want)
+
+
+def test_toxicity_reads_a_very_long_clause_once():
+    import time
+
+    model = toxicity.Model({}, {"idiot": 6.0})
+    took = []
+    for n in (30_000, 120_000):
+        began = time.process_time()
+        x = model.features("a river idiot of words " * n)
+        took.append(time.process_time() - began)
+        assert x[toxicity.PATTERNS.index("insult")] == np.log1p(1)
+    assert took[1] < 12 * took[0]
+
+
 def plain_lm(w, doc):
     """Natural log probability of word ids, a word at a time: the model's definition."""
     w = {k: v.astype(np.float64) for k, v in w.items()}
