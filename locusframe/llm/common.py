@@ -150,3 +150,14 @@ def drop_keys(df: DataFrame, keys: DataFrame, key: str = "_k") -> DataFrame:
     after they were counted; more are joined by a shuffle, with the same result."""
     few = keys.count() <= BROADCAST_KEYS
     return df.join(F.broadcast(keys) if few else keys, key, "left_anti")
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str = "w") -> DataFrame:
+    """rows with the columns of classes (a written table, a row for each key, with the number of rows that have
+    it); rows without a class stay, with nulls. Keys that more than a thousandth of all rows have, a thousand at
+    most, are broadcast, so that the shuffle of the others meets no hot one."""
+    total = classes.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * 1000 > F.lit(total)
+    few, rest = classes.where(hot).drop(weight), classes.where(~hot).drop(weight)
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, "left")
+    return rows.join(F.broadcast(few), key).unionByName(cold)

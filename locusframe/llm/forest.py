@@ -8,7 +8,10 @@ which each pair is a task of its own. A pair that meets in several leaves counts
 found from the leaves that every vector carries. A leaf hands on counts and the edges of a spanning forest,
 never its pairs, and equal vectors are one class with a weight, so dense groups cost no rows.
 
-Splits are fitted on at most SAMPLE vectors; all vectors are routed through them.
+Splits are fitted on at most SAMPLE vectors; all vectors are routed through them. Where there are so many vectors
+that leaves of the sample would be too large, each leaf goes on splitting below the sample: at the middle of what
+it holds of the sample, along random directions, as many levels as the number of all vectors asks for. So a
+leaf doesn't grow with the table, and each vector finds its leaves by itself.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import components, discard, materialise, only
+from .common import components, discard, join_classes, materialise, only
 
 THRESHOLD, TREES, SPILL = 0.95, 8, 0.02
 #: Vectors that the splits are fitted on; vectors a leaf should have; rows of a block; the least of the sample in a leaf.
@@ -40,32 +43,42 @@ class Tree:
         self.threshold: list[float] = []
         self.child: list[int] = []
         self.depth: list[int] = []
+        self.below: dict[int, np.ndarray] = {}  # of a leaf: where it is split further, by level and direction
         self._directions: dict[int, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_directions": {}}
 
-    def direction(self, node: int) -> np.ndarray:
-        d = self.depth[node]
+    def directions(self, d: int) -> np.ndarray:
         if d not in self._directions:
             x = np.random.default_rng([self.seed, d]).standard_normal((POOL, self.dim))
             self._directions[d] = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return self._directions[d][node % POOL]
+        return self._directions[d]
+
+    def direction(self, node: int) -> np.ndarray:
+        return self.directions(self.depth[node])[node % POOL]
 
     def _node(self, depth: int) -> int:
         self.threshold.append(np.nan), self.child.append(-1), self.depth.append(depth)
         return len(self.threshold) - 1
 
-    def fit(self, x: np.ndarray, least: int, spill: float) -> Tree:
+    def fit(self, x: np.ndarray, least: int, spill: float, levels: int = 0) -> Tree:
+        def leaf(node: int, rows: np.ndarray) -> None:
+            if levels:
+                middle = x[rows].mean(axis=0) if len(rows) else np.zeros(x.shape[1])
+                self.below[node] = np.array([self.directions(100 + i) @ middle for i in range(levels)], np.float32)
+
         todo = [(self._node(0), np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if len(rows) <= least or self.depth[node] > 40:
+                leaf(node, rows)
                 continue
             p = x[rows] @ self.direction(node)
             cut = float(np.median(p))
             left, right = p <= cut + spill, p >= cut - spill
             if max(left.sum(), right.sum()) > PROGRESS * len(rows):
+                leaf(node, rows)
                 continue
             self.threshold[node] = cut
             a, b = self._node(self.depth[node] + 1), self._node(self.depth[node] + 1)
@@ -75,15 +88,27 @@ class Tree:
         return self
 
     def route(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
-        """row, leaf of all leaves that each row reaches, rows in order."""
+        """row, leaf of all leaves that each row reaches, rows in order. A leaf that is split further has the
+        path below it in its number."""
         rows, leaves, todo = [], [], [(0, np.arange(len(x)))]
+        levels = len(next(iter(self.below.values()))) if self.below else 0
+
+        def further(cuts: np.ndarray, path: int, level: int, at: np.ndarray) -> None:
+            if level == levels or not len(at):
+                rows.append(at), leaves.append(np.full(len(at), path))
+                return
+            k = path % POOL
+            p = x[at] @ self.directions(100 + level)[k]
+            further(cuts, 2 * path, level + 1, at[p <= cuts[level, k] + spill])
+            further(cuts, 2 * path + 1, level + 1, at[p >= cuts[level, k] - spill])
+
         while todo:
             node, at = todo.pop()
             if not len(at):
                 continue
             cut = self.threshold[node]
             if cut != cut:
-                rows.append(at), leaves.append(np.full(len(at), node))
+                further(self.below.get(node), node, 0, at)
                 continue
             p = x[at] @ self.direction(node)
             todo += [(self.child[node], at[p <= cut + spill]), (self.child[node] + 1, at[p >= cut - spill])]
@@ -124,14 +149,16 @@ def fit(sample: list[bytes], n: int, kind: str, trees: int, spill: float, leaf:
         by.setdefault(len(v), []).append(v)
     out = {}
     least = max(LEAST, leaf * len(sample) // max(1, n))
+    # vectors that a leaf of the sample would hold, against those it should
+    levels = max(0, int(np.ceil(np.log2(max(1.0, least * n / max(1, len(sample)) / (2 * leaf))))))
     for size, rows in by.items():
         x = unit(rows, kind)
-        out[size] = [Tree(x.shape[1], 1000 * size + t).fit(x, least, spill) for t in range(trees)]
+        out[size] = [Tree(x.shape[1], 1000 * size + t).fit(x, least, spill, levels) for t in range(trees)]
     return out
 
 
 def _map_route(forest: dict[int, list[Tree]], kind: str, spill: float):
-    """A row for each leaf that a vector reaches: its place (tree << 32) + leaf, and all places of the vector in order."""
+    """A row for each leaf that a vector reaches: its place (tree << 48) + leaf, and the vector's lesser places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,21 +170,23 @@ def _map_route(forest: dict[int, list[Tree]], kind: str, spill: float):
                 own = forest.get(s)  # a size that the sample lacks: one leaf for all
                 met = [t.route(x, spill) for t in own] if own else [(np.arange(len(at)), np.zeros(len(at), np.int64))]
                 row = np.concatenate([r for r, _ in met])
-                place = np.concatenate([leaf + (t << 32) for t, (_, leaf) in enumerate(met)])
+                place = np.concatenate([leaf + (t << 48) for t, (_, leaf) in enumerate(met)])
                 order = np.lexsort((place, row))
                 row, place = row[order], place[order]
                 offsets = np.searchsorted(row, np.arange(len(at) + 1))
-                places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int64()))
+                before = np.arange(len(row)) - offsets[row]
+                ends = np.concatenate(([0], np.cumsum(before)))
+                flat = np.arange(ends[-1]) - np.repeat(ends[:-1], before) + np.repeat(offsets[row], before)
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[flat], pa.int64()))
                 take = pa.array(at[row])
-                cols = [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(np.full(len(row), s, np.int32)), pa.array(place, pa.int64()), places.take(pa.array(row))]
+                cols = [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(np.full(len(row), s, np.int32)), pa.array(place, pa.int64()), places]
                 yield pa.RecordBatch.from_arrays(cols, ["c", "v", "w", "size", "place", "places"])
 
     return run
 
 
-def first_meeting(places: list[np.ndarray], i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
-    """Whether `here` is the least place that the rows i and j have in common."""
-    short = [p[: int(np.searchsorted(p, here))] for p in places]  # places are in order
+def first_meeting(short: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j have none of their lesser places in common."""
     width = max(map(len, short), default=0)
     if not width:
         return np.ones(len(i), bool)
@@ -186,7 +215,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def compare(c: np.ndarray, w: np.ndarray, x: np.ndarray, side: np.ndarray, places: list[np.ndarray], here: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(c: np.ndarray, w: np.ndarray, x: np.ndarray, side: np.ndarray, places: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """near: the weight linked to each row and met here first; a, b: edges of a spanning forest of the links.
     Rows of two sides are compared across, of one side with each other."""
     near = np.zeros(len(c), np.int64)
@@ -204,7 +233,7 @@ def compare(c: np.ndarray, w: np.ndarray, x: np.ndarray, side: np.ndarray, place
             i, j = i[keep], j[keep]
         for s in range(0, len(i), 1 << 18):
             a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            ok = first_meeting(places, a, b, here)
+            ok = first_meeting(places, a, b)
             near += np.bincount(a[ok], w[b[ok]], len(c)).astype(np.int64) + np.bincount(b[ok], w[a[ok]], len(c)).astype(np.int64)
         if len(i):
             # edges so far, as a forest
@@ -228,7 +257,7 @@ def _map_compare(kind: str, threshold: float):
         flat = t.column("places").values.to_numpy()
         places = [flat[off[k] : off[k + 1]] for k in range(len(c))]
         x = unit(t.column("v").to_pylist(), kind)
-        near, a, b = compare(c, w, x, t.column("side").to_numpy(), places, t.column("place")[0].as_py(), threshold)
+        near, a, b = compare(c, w, x, t.column("side").to_numpy(), places, threshold)
         to = dict(zip(b.tolist(), a.tolist()))
         at = np.flatnonzero((near > 0) | np.isin(c, b))
         if not len(at):
@@ -308,12 +337,12 @@ def near_duplicates(
     comp = components(found.where("to is not null").select(F.col("c").alias("a"), F.col("to").alias("b")))
     near = found.groupBy("c").agg(F.sum("near").alias("near"))
     per = classes.join(near, "c", "left").join(comp.select(F.col("node").alias("c"), "component"), "c", "left")
-    per = per.select("v", "least", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
+    per = per.select("v", "w", "least", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
     per = materialise(per)
     ids = per.groupBy("component").agg(F.min("least").alias("component_id"))
-    per = per.join(ids, "component").select("v", "n_links", "component_id")
-    out = packed.join(per, "v", "left")
+    each = materialise(per.join(ids, "component").select("v", "w", "n_links", "component_id"))
+    discard(found, classes, comp, per)
+    out = join_classes(packed, each, "v")
     alone = F.col("n_links").isNull()
     cid = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
-    discard(found)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(False)).alias("kept"))

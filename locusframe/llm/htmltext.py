@@ -12,7 +12,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
 from math import log1p
@@ -34,9 +35,12 @@ GROUP, GROUP_BLOCKS = 256, 200_000
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Not shown, and read as text up to their end tag.
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math canvas object".split())
+#: Not shown: these up to the next end tag, or the end of the page,
+_RAW = frozenset("script style textarea title".split())
+#: and these up to their own end tag, as they can be nested; without one the tag alone is passed over.
+_HIDDEN = frozenset("noscript iframe xmp noembed noframes template svg math canvas object".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_PARAGRAPH = ({"p"}, {"article", "aside", "blockquote", "body", "div", "footer", "form", "header", "li", "main", "nav", "section", "td"})
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.S,
@@ -61,8 +65,19 @@ def _bits(tag: str, attributes: str) -> int:
 
 
 @lru_cache(maxsize=512)
-def _end_of(tag: str) -> re.Pattern:
-    return re.compile(f"</{re.escape(tag)}(?![a-zA-Z0-9:_-])", re.I)
+def _tags_of(tag: str) -> re.Pattern:
+    return re.compile(f"<(/?){re.escape(tag)}(?![a-zA-Z0-9:_-])[^>]*>?", re.I)
+
+
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where each element of a tag that is closed begins, and where it ends."""
+    out, opened = {}, []
+    for m in _tags_of(tag).finditer(html):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
 
 
 class Block:
@@ -76,6 +91,9 @@ def blocks(html: str | None) -> list[Block]:
     """The blocks with text, in page order: white space runs are one space, ends trimmed."""
     html, out = html or "", []
     stack: list[tuple[str, int, int]] = []  # tag, bits of the path, bits of the tag
+    places: dict[str, list[int]] = defaultdict(list)  # of a tag in the stack
+    bounds: list[int] = []  # of what isn't inline
+    ends: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked, in_link, at, size = 0, 0, 0, len(html)
 
@@ -93,8 +111,15 @@ def blocks(html: str | None) -> list[Block]:
 
     def pop_to(k: int) -> None:
         nonlocal in_link
-        in_link -= sum(t[0] == "a" for t in stack[k:])
+        for t, _, _ in stack[k:]:
+            places[t].pop()
+            in_link -= t == "a"
         del stack[k:]
+        while bounds and bounds[-1] >= k:
+            bounds.pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def text(s: str) -> None:
         nonlocal linked
@@ -122,33 +147,36 @@ def blocks(html: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if inline and stack[k][0] not in _INLINE:
-                    break
+            k = last((tag,))
+            if k >= 0 and not (inline and bounds and k < bounds[-1]):
+                pop_to(k)
             continue
         if tag in _RAW:
             if not attributes.endswith("/"):
-                end = _end_of(tag).search(html, at)
-                if not end:
-                    break
-                close = html.find(">", end.end())
-                at = size if close < 0 else close + 1
+                end = next((e for e in _tags_of(tag).finditer(html, at) if e[1]), None)
+                at = end.end() if end else size
+            continue
+        if tag in _HIDDEN:
+            if not attributes.endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends(html, tag)
+                at = max(at, ends[tag].get(m.start(), at))
             continue
         if tag in _VOID:
             continue
         if not inline:
-            ends, within = _CLOSES.get(tag, ({"p"}, {"article", "aside", "blockquote", "body", "div", "footer", "form", "header", "li", "main", "nav", "section", "td"}))
-            for k in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
-                if stack[k][0] in ends:
-                    pop_to(k)
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in within:
-                    break
+            over, within = _CLOSES.get(tag, _PARAGRAPH)
+            bound = last(within)
+            if tag == "tr":
+                k = min((i for t in over for i in reversed(places[t]) if i > bound), default=-1)
+            else:
+                k = last(over)
+            if k > bound:
+                pop_to(k)
         bits = _bits(tag, attributes)
+        places[tag].append(len(stack))
+        if not inline:
+            bounds.append(len(stack))
         stack.append((tag, (stack[-1][1] if stack else 0) | bits, stack[-1][2] if inline and stack else bits))
         in_link += tag == "a"
     flush()

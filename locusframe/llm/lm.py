@@ -48,7 +48,7 @@ FLUSH, GROUP = 400_000, 1 << 20
 #: Tokens of a document that is scored with others as long.
 LENGTHY = 4096
 #: Models that are averaged in one task.
-FAN = 32
+FAN = 16
 END = b""
 
 Weights = dict[str, np.ndarray]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, drop_keys, guarded, materialise, only, with_key
+from .common import components, discard, drop_keys, guarded, join_classes, materialise, only, with_key
 
 BITS = 64
 #: Fingerprints looked at to estimate costs; results don't depend on it.
@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
     per = materialise(per)
     discard(pairs, comp)
     ids = per.groupBy("component").agg(F.min("least").alias("component_id"))
-    per = per.join(ids, "component").select("fp", (F.col("near") + F.col("w") - 1).alias("n_near"), "component_id")
-    return f.join(per, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id")
+    each = materialise(per.join(ids, "component").select("fp", "w", (F.col("near") + F.col("w") - 1).alias("n_near"), "component_id"))
+    discard(per)
+    return join_classes(f, each, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id")
 
 
 @guarded

@@ -39,6 +39,30 @@ def test_forest(spark, max_leaf):
     assert sorted(map(repr, got)) == sorted(map(repr, brute(rows)))
 
 
+def test_forest_finds_links_far_beyond_its_sample(spark):
+    """Leaves split below the sample: 6 levels here. Pairs are planted at a cosine just above the threshold."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 64))
+    side -= (side * base[:1000]).sum(axis=1, keepdims=True) * base[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.953 * base[:1000] + np.sqrt(1 - 0.953**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tree = forest.Tree(64, 1).fit(x[:100], 4, 0.02, 6)
+    assert len(set(tree.route(x, 0.02)[1].tolist())) > 8 * sum(np.isnan(tree.threshold)) / 4
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df, leaf=20, sample=100).collect()}
+    near = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert near.sum() >= 2000 and all(got[i] <= near[i] for i in got)
+    assert sum(got.values()) >= 0.98 * near.sum()
+
+
+def test_forest_joins_hot_vectors_by_broadcast(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(50)] + [(100 + i, [float(i + 1), -1.0]) for i in range(3)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (49, 0) for i in range(50)) and len(got) == 53
+
+
 def test_forest_empty(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -58,6 +82,27 @@ def test_blocks():
     assert len(htmltext.blocks("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
 
 
+def test_pages_that_are_not_well_formed():
+    got = lambda h: [b.text for b in htmltext.blocks(h)]
+    assert got("<p>body <noscript>x <p>more") == ["body", "x", "more"]
+    assert got("<svg><svg></svg>gone</svg><p>kept") == got("<svg><p>kept") == ["kept"]
+    assert got("<div>a<script>b<p>c") == ["a"]
+    deep = htmltext.blocks("<nav>" + "<i>" * 400 + "menu</nav><p>text")
+    assert [b.text for b in deep] == ["menu", "text"] and not deep[1].path & htmltext._bit("t:nav")
+    assert got("<p><div>" + "<span>" * 30000 + "x" + "</p>" * 30000) == ["x"]
+    assert got("<svg>" * 30000 + "x") == ["x"]
+
+
+def test_a_very_long_page(spark):
+    page = PAGE.replace("</article>", "<p>The river goes on and on, past many towns.</p>" * 20000 + "</article>")
+    got = htmltext.main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert got["n_chars"] == len(got["text"]) and got["text"].count("on and on") == 20000
+
+
+def test_main_text_of_no_pages(spark):
+    assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", PAGE), (1, "u", PAGE)]
     got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text")).collect()
