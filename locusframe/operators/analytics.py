@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.values import fixed
-from .intervals import BIN, overlap_join, regions
+from ..natural import chr_clip
+from .intervals import BIN, best_match, overlap_join, regions
 
 
 def compound(df: DataFrame, transcripts: str, criteria: str | None = None, per: str = "sample", least: int = 2) -> DataFrame:
@@ -119,7 +120,8 @@ def coverage_report(segments: DataFrame, targets: DataFrame, cutoffs: list[int],
 
 def value_histogram(segments: DataFrame, targets: DataFrame, value: str, limits: list[float], name: str = "name", bin_size: int = BIN) -> DataFrame:
     """For each target: positions by interval of the value (below the first limit, between limits, from the
-    last), size, mean, least and largest; then a row Total."""
+    last), size, mean, least and largest; then a row Total, and Totalpercent with the positions of each interval in
+    percent of all."""
     v = F.col(f"a_{value}")
     p = overlap_join(regions(segments, [value]), regions(targets, [name]), bin_size=bin_size).withColumn("_n", F.least("a_end", "b_end") - F.greatest("a_begin", "b_begin"))
     edges = [None, *limits, None]
@@ -130,7 +132,12 @@ def value_histogram(segments: DataFrame, targets: DataFrame, value: str, limits:
         cond = cond & (v < hi) if hi is not None else cond
         cells.append(F.sum(F.when(cond, F.col("_n")).otherwise(0)).alias(f"r{'' if lo is None else lo}<{'' if hi is None else hi}"))
     rest = [F.sum("_n").alias("size"), F.round(F.sum(v * F.col("_n")) / F.sum("_n"), 2).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max")]
-    return p.groupBy(F.col(f"b_{name}").alias(name)).agg(*cells, *rest).union(p.agg(F.lit("Total"), *cells, *rest))
+    by, total = p.groupBy(F.col(f"b_{name}").alias(name)).agg(*cells, *rest), p.agg(F.lit("Total").alias(name), *cells, *rest)
+    intervals = by.columns[1 : len(cells) + 1]
+    share = [F.round(F.lit(100.0) * model.col(c) / F.when(F.col("size") > 0, F.col("size")), 2).alias(c) for c in intervals]
+    wide = lambda t: t.select(F.col(name).cast("string").alias(name), *[model.col(c).cast("double").alias(c) for c in intervals], F.col("size").cast("double").alias("size"), *["avg", "min", "max"])
+    percent = total.select(F.lit("Totalpercent"), *share, F.lit(100.0), *[F.lit(None).cast(t) for _, t in total.dtypes[-3:]])
+    return wide(by).union(wide(total)).union(percent)
 
 
 def combine_reports(reports: DataFrame) -> DataFrame:
@@ -150,3 +157,37 @@ def homopolymers(sequences: DataFrame, name: str = "chromosome", seq: str = "seq
     ends = F.aggregate("_r", F.array().cast("array<int>"), lambda acc, r: F.concat(acc, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), acc), -1), F.lit(0)) + F.length(r))))
     each = F.filter(F.zip_with("_r", ends, lambda r, e: F.struct((e - F.length(r)).cast("long").alias("begin"), e.cast("long").alias("end"), F.substring(r, 1, 1).alias("base"), F.length(r).cast("long").alias("size"))), lambda s: s["size"] >= least)
     return x.select(name, F.inline(each))
+
+
+def homozygous_runs(calls: DataFrame, least: int = 25, length: int = 0, gap: int = 1_000_000, by: str = "sample") -> DataFrame:
+    """Runs of homozygous calls (zyg m) of a sample that follow each other without a heterozygous one (t or c) or a
+    gap between: least or more calls over length or more positions. Other calls are passed over."""
+    x = calls.where(F.col("zyg").isin("m", "t", "c")).select(model.col(by), chr_clip("chromosome").alias("chromosome"), F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), (F.col("zyg") == "m").alias("_hom"))
+    w = Window.partitionBy(by, "chromosome").orderBy("begin", "end")
+    new = ~F.col("_hom") | ~F.lag("_hom", 1, False).over(w) | (F.col("begin") - F.lag("end").over(w) > gap)
+    runs = x.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_hom").groupBy(by, "chromosome", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("calls"))
+    return runs.where((F.col("calls") >= least) & (F.col("end") - F.col("begin") >= length)).drop("_run")
+
+
+def noise(pileup: DataFrame, depth: int = 20, bins: int = 100) -> DataFrame:
+    """Positions by the share of reads that disagree with the reference, in bins of the share: bin (its lower end in
+    percent of bins), positions. pileup: a row for each position and base (chromosome, pos, ref, base, count);
+    positions of less depth are left out."""
+    p = pileup.groupBy("chromosome", "pos").agg(F.sum("count").alias("_n"), F.sum(F.when(F.upper("base") != F.upper("ref"), F.col("count")).otherwise(0)).alias("_e")).where(F.col("_n") >= depth)
+    return p.groupBy(F.least(F.floor(F.col("_e") * bins / F.col("_n")), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("positions"))
+
+
+def error_rate(pileup: DataFrame) -> DataFrame:
+    """bases, errors and their share over all positions of such a table."""
+    wrong = F.when(F.upper("base") != F.upper("ref"), F.col("count")).otherwise(0)
+    return pileup.agg(F.sum("count").alias("bases"), F.sum(wrong).alias("errors")).withColumn("rate", F.col("errors") / F.when(F.col("bases") > 0, F.col("bases")))
+
+
+def clip_to_amplicons(reads: DataFrame, amplicons: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """reads cut to the amplicon they share most positions with (its outer parts, the primers, left out: from
+    outerbegin+primers to the end before them if the table has begin and end of the inner part); reads of no
+    amplicon as they are."""
+    best = best_match(reads.withColumn("_o", F.lit(1)), amplicons.withColumn("_ab", F.col("begin")).withColumn("_ae", F.col("end")), ["_ab", "_ae"], [-(F.least("a_end", "b_end") - F.greatest("a_begin", "b_begin")), F.col("b_begin"), F.col("b_end")], {}, False, 0, bin_size)
+    b, e = F.greatest("begin", F.coalesce("_ab", "begin")), F.least("end", F.coalesce("_ae", "end"))
+    cells = {"begin": b, "end": e}
+    return best.select(*[cells.get(c, model.col(c)).alias(c) for c in reads.columns])

@@ -55,3 +55,30 @@ def cell_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def split_by(df: DataFrame, field: str, path: str, how: str = "parquet") -> None:
     """A folder of files for each value of a field."""
     df.write.partitionBy(field).format(how).mode("overwrite").save(path)
+
+
+def merge_sorted(tables: list[DataFrame], order: list[str]) -> DataFrame:
+    """All rows of tables of the same columns in the natural order of these columns."""
+    from .select import sort_columns
+
+    out = reduce(DataFrame.unionByName, tables)
+    return out.orderBy(*sort_columns(out, order))
+
+
+def distribute(df: DataFrame, parts: int | None = None, column: str = "_region", size: int = 50_000_000) -> DataFrame:
+    """df with the stretch of the genome each row begins in (chromosome:begin-end, of size positions), partitioned by
+    it: what goes on works region by region."""
+    from ..natural import chr_clip
+
+    roles = model.resolve_roles(df.columns, ("chromosome", "begin"))
+    c, b = chr_clip(model.col(roles["chromosome"])), F.floor(model.col(roles["begin"]).cast("long") / size)
+    out = df.withColumn(column, F.concat(c, F.lit(":"), (b * size).cast("string"), F.lit("-"), ((b + 1) * size).cast("string")))
+    return out.repartition(parts, column) if parts else out.repartition(column)
+
+
+def split_by_chromosome(df: DataFrame, path: str) -> None:
+    """A folder of files for each chromosome."""
+    from ..natural import chr_clip
+
+    roles = model.resolve_roles(df.columns, ("chromosome",))
+    df.withColumn("_chr", chr_clip(model.col(roles["chromosome"]))).write.partitionBy("_chr").mode("overwrite").parquet(path)

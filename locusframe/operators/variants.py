@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ..functions.values import Value
 from ..natural import chr_clip, nat_key, nat_sort, nat_sort_key
 from ..shared import checkpointed
 from .intervals import BIN, best_match, overlap_join, regions
+from .sequences import reverse_complement
 
 KEY = ["chromosome", "begin", "end", "type", "ref", "alt"]
 
@@ -254,18 +256,24 @@ def annotate_genes(a: DataFrame, genes: DataFrame, upstream: int = 2000, splice:
     return out.select(*[model.col(c) for c in x.columns], *[F.coalesce(F.array_join(F.transform("_l", _field(k)), ";"), F.lit("")).alias(f"gene_{n}") for n, k in (("impact", "impact"), ("gene", "name"), ("descr", "descr"))])
 
 
+def _turned(x):
+    """Alleles (a list, perhaps of one) as the other strand has them; what is no sequence stays."""
+    return F.array_join(F.transform(F.split(x.cast("string"), ","), lambda v: F.when(v.rlike("^[ACGTNacgtn]*$"), reverse_complement(v)).otherwise(v)), ",")
+
+
 def liftover(a: DataFrame, chain: DataFrame, bin_size: int = BIN) -> tuple[DataFrame, DataFrame]:
     """Rows in the coordinates of another build, by chain blocks (chromosome, begin, end, destchromosome,
-    destbegin, destend, strand); and the rows that no block holds as a whole."""
+    destbegin, destend, strand); and the rows that no block holds as a whole. Alleles (ref, alt, alleleSeq1 and 2) of
+    a block on the minus strand are reverse complemented."""
     x, y = regions(a), regions(chain, ["destchromosome", "destbegin", "destend", "strand"])
     pairs = overlap_join(x, y, "each", True, 0, bin_size, (F.col("b_begin") <= F.col("a_begin")) & (F.col("a_end") <= F.col("b_end")))
     plus = F.col("b_strand") == "+"
     b = F.when(plus, F.col("b_destbegin") + F.col("a_begin") - F.col("b_begin")).otherwise(F.col("b_destend") - (F.col("a_end") - F.col("b_begin")))
-    new = F.struct(F.col("b_destchromosome").alias("c"), b.alias("b"), (b + F.col("a_end") - F.col("a_begin")).alias("e"))
+    new = F.struct(F.col("b_destchromosome").alias("c"), b.alias("b"), (b + F.col("a_end") - F.col("a_begin")).alias("e"), F.col("b_strand").alias("s"))
     order = F.when(F.col("b_row"), F.struct("b_begin", "b_end", "b_destchromosome", "b_destbegin"))
     out = pairs.groupBy("a_row").agg(F.min_by(new, order).alias("_n"), *[F.first(model.col("a_" + c)).alias(c) for c in x.columns])
     rest = [c for c in x.columns if c not in ("chromosome", "begin", "end")]
-    done = out.where("_n is not null").select(F.col("_n.c").alias("chromosome"), F.col("_n.b").alias("begin"), F.col("_n.e").alias("end"), *[model.col(c) for c in rest], F.col("chromosome").alias("beforechromosome"), F.col("begin").alias("beforebegin"), F.col("end").alias("beforeend"))
+    done = out.where("_n is not null").select(F.col("_n.c").alias("chromosome"), F.col("_n.b").alias("begin"), F.col("_n.e").alias("end"), *[(F.when(F.col("_n.s") == "-", _turned(model.col(c))).otherwise(model.col(c)).alias(c) if re.match("(ref|alt|alleleSeq[12])(-|$)", c) else model.col(c)) for c in rest], F.col("chromosome").alias("beforechromosome"), F.col("begin").alias("beforebegin"), F.col("end").alias("beforeend"))
     return done, out.where("_n is null").select("chromosome", "begin", "end", *[model.col(c) for c in rest])
 
 

@@ -4,16 +4,79 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..natural import nat_sort_key
-from .tsv import find_header, head_lines
+from ..natural import chr_clip, nat_key, nat_sort_key
+from .tsv import find_header, head_lines, lines
 
 _RENAME = {"DP": "coverage", "GQ": "genoqual", "AD": "alleledepth", "PS": "phaseset"}
 
 
+def vcf_header(spark: SparkSession, path: str) -> DataFrame:
+    """kind, id, number, type, description of a VCF's header; other lines have their value as description."""
+    x = lines(spark, path).where(F.col("value").startswith("##")).distinct()  # parts repeat it
+    part = lambda k: F.regexp_extract("value", rf"[<,]{k}=([^,>]*)", 1)
+    kind, rest = F.regexp_extract("value", "^##([^=]*)=", 1), F.regexp_extract("value", "^##[^=]*=(.*)$", 1)
+    structured = rest.startswith("<")
+    return x.select(kind.alias("kind"), part("ID").alias("id"), part("Number").alias("number"), part("Type").alias("type"), F.when(structured, F.regexp_extract("value", r'Description="((?:[^"\\\\]|\\\\.)*)"', 1)).otherwise(rest).alias("description"))
+
+
+def vcf_cat(spark: SparkSession, paths: list[str], sort: bool = False) -> DataFrame:
+    """Lines (value) of several VCFs of the same samples as of one: the header of the first, then the rows of all, in
+    natural order of place with sort. _row tells them apart: 0 and 1."""
+    from functools import reduce
+
+    heads = [[x for x in head_lines(spark, p) if x.startswith("#CHROM")] for p in paths]
+    if any(h != heads[0] for h in heads):
+        raise ValueError("samples differ")
+    body = reduce(DataFrame.union, [lines(spark, p) for p in paths]).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    top = [x for x in head_lines(spark, paths[0]) if x.startswith("#")]
+    top = top[: next(i for i, x in enumerate(top) if x.startswith("#CHROM")) + 1]  # parts repeat it
+    both = spark.createDataFrame([(0, x) for x in top], "_row int, value string").coalesce(1).union(body.select(F.lit(1), "value"))
+    return sort_vcf(both) if sort else both
+
+
+def sort_vcf(rows: DataFrame) -> DataFrame:
+    """Lines (_row, value) with the rows in natural order of chromosome and position; the header as it is."""
+    p = F.split("value", "\t")
+    row = F.col("_row") == 1
+    return rows.orderBy("_row", F.when(row, nat_key(chr_clip(F.get(p, F.lit(0))))), F.when(row, F.get(p, F.lit(1)).cast("long")), F.when(row, F.col("value")))
+
+
+_GENEPRED = ["name", "chromosome", "strand", "begin", "end", "cdsStart", "cdsEnd", "exonCount", "exonStarts", "exonEnds", "score", "name2", "cdsStartStat", "cdsEndStat", "exonFrames"]
+
+
+def genepred2tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Transcripts of a genePred file, with a bin at the begin of its rows or without."""
+    first = next((x for x in head_lines(spark, path) if not x.startswith("#")), "")
+    binned = bool(re.match(r"\d+\t[^\t]*\t[^\t]*\t[+-]\t", first))
+    x = _columns(lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != "")), ([*["bin"] * binned, *_GENEPRED]))
+    kinds = {c: "long" for c in ("begin", "end", "cdsStart", "cdsEnd")} | {"exonCount": "int"}
+    order = ["chromosome", "begin", "end", "name", "name2", "strand", "cdsStart", "cdsEnd", "exonCount", "exonStarts", "exonEnds"]
+    return x.select(*[F.col(c).cast(kinds.get(c, "string")).alias({"name2": "gene", "name": "transcript"}.get(c, c)) for c in order])
+
+
+def genepred2fasta(genes: DataFrame, genome: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """transcript, sequence: exons joined, in the direction of the strand. genome: chromosome, start, seq, in chunks."""
+    from ..operators.sequences import extract, reverse_complement
+
+    numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("long"))
+    exons = F.zip_with(numbers("exonStarts"), numbers("exonEnds"), lambda b, e: F.struct(b.alias("begin"), e.alias("end")))
+    each = genes.select("chromosome", "transcript", "strand", F.inline(exons))
+    parts = extract(each, genome, chunk).groupBy("chromosome", "transcript", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "sequence"))), lambda s: s["sequence"]), "").alias("_s"))
+    return parts.select("transcript", F.when(F.col("strand") == "-", reverse_complement(F.col("_s"))).otherwise(F.col("_s")).alias("sequence"))
+
+
+def gb2fasta(spark: SparkSession, path: str) -> DataFrame:
+    """id, sequence of GenBank records, which end at //."""
+    x = spark.read.option("lineSep", "\n//").text(path)
+    name = F.regexp_extract("value", r"(?m)^LOCUS\s+(\S+)", 1)
+    seq = F.upper(F.regexp_replace(F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1), r"[\s\d]", ""))
+    return x.where(name != "").select(name.alias("id"), seq.alias("sequence"))
+
+
 def _columns(path_df: DataFrame, names: list[str]) -> DataFrame:
     parts = F.split("value", "\t", -1)
     return path_df.select(parts.alias("_p")).select(*[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
@@ -24,7 +87,7 @@ def vcf2tsv(spark: SparkSession, path: str, info: list[str] | None = None, split
     A row for each allele (split); for each sample alleleSeq1, alleleSeq2, sequenced, zyg and FORMAT fields."""
     _, names, _ = find_header(head_lines(spark, path))
     samples = names[9:]
-    rows = _columns(spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")), names)
+    rows = _columns(lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != "")), names)
     x = rows.withColumn("_alts", F.split("ALT", ","))
     x = x.select("*", F.posexplode("_alts").alias("_i", "_alt")) if split else x.withColumn("_i", F.lit(0)).withColumn("_alt", F.get("_alts", F.lit(0)))
     ref, alt, pos = F.upper("REF"), F.upper("_alt"), F.col("POS").cast("long") - 1
@@ -99,7 +162,7 @@ _FLAGS = {"paired": 1, "properpair": 2, "unmapped": 4, "mateunmapped": 8, "rever
 
 def sam2tsv(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
     """Alignments with 0-based half-open places: the end and clipped lengths from the CIGAR, flags as 0 and 1."""
-    x = _columns(spark.read.text(path).where(~F.col("value").rlike("^@[A-Z][A-Z](\t|$)") & (F.col("value") != "")).withColumn("_all", F.split("value", "\t", -1)).select("value"), [*SAM, *[f"_t{i}" for i in range(60)]])
+    x = _columns(lines(spark, path).where(~F.col("value").rlike("^@[A-Z][A-Z](\t|$)") & (F.col("value") != "")).withColumn("_all", F.split("value", "\t", -1)).select("value"), [*SAM, *[f"_t{i}" for i in range(60)]])
     flag = F.col("flag").cast("int")
     total = lambda ops: F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda s, n: s + n.cast("long"))
     begin = F.col("pos").cast("long") - 1
@@ -130,7 +193,7 @@ def bed2tsv(spark: SparkSession, path: str) -> DataFrame:
     first = next((x for x in head_lines(spark, path) if not re.match(r"(#|track|browser)", x) and x), "")
     n = len(re.split(r"[\t ]+", first.rstrip())) if first else 3
     parts = F.split(F.rtrim("value"), "[\t ]+", -1)
-    body = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser)") & (F.col("value") != "")).select(parts.alias("_p"))
+    body = lines(spark, path).where(~F.col("value").rlike("^(#|track|browser)") & (F.col("value") != "")).select(parts.alias("_p"))
     kinds = {"begin": "long", "end": "long", "thickStart": "long", "thickEnd": "long", "blockCount": "int"}
     return body.select(*[F.get("_p", F.lit(i)).cast(kinds.get(c, "string")).alias(c) for i, c in enumerate(BED[:n])])
 
@@ -164,7 +227,7 @@ def _attribute(name: str) -> Column:
 def gtf2tsv(spark: SparkSession, path: str, attributes: list[str] | None = None) -> DataFrame:
     """A row for each transcript: exons in order as comma lists, the coding part, genes."""
     names = ["chromosome", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"]
-    x = _columns(spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")), names).where(F.col("feature").isin("exon", "CDS"))
+    x = _columns(lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != "")), names).where(F.col("feature").isin("exon", "CDS"))
     transcript = F.coalesce(F.nullif(_attribute("transcript_id"), F.lit("")), _attribute("Parent"))
     x = x.select("chromosome", "feature", (F.col("start").cast("long") - 1).alias("b"), F.col("end").cast("long").alias("e"), "strand", "source", transcript.alias("transcript"), _attribute("gene_id").alias("geneid"), _attribute("gene_name").alias("gene"), *[_attribute(a).alias(a) for a in attributes or []])
     exons = F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("feature") == "exon", F.struct("b", "e")))))
@@ -212,7 +275,11 @@ def fastq2tsv(spark: SparkSession, path: str) -> DataFrame:
     whole = (F.size(lines) >= 4) & F.get(lines, F.lit(2)).startswith("+") & (F.length(F.get(lines, F.lit(1))) == F.length(F.get(lines, F.lit(3))))
     cut = (F.size(lines) == 3) & F.get(lines, F.lit(2)).startswith("+")
     num = x.select(lines.alias("l"), whole.alias("whole"), cut.alias("cut"), F.monotonically_increasing_id().alias("k"))
-    nxt = num.where("not whole and not cut").select((F.col("k") - 1).alias("k"), F.get("l", F.lit(0)).alias("q"))
+    # a piece at the begin of a partition belongs to the last one of the partition before: a row for each partition
+    ends = num.groupBy(F.shiftright("k", 33).alias("_p")).agg(F.min("k").alias("_first"), F.max("k").alias("_last"))
+    before = ends.select(F.col("_first").alias("k"), F.lag("_last").over(Window.orderBy("_p")).alias("_before"))
+    rest = num.where("not whole and not cut").join(F.broadcast(before), "k", "left")
+    nxt = rest.select(F.coalesce("_before", F.col("k") - 1).alias("k"), F.get("l", F.lit(0)).alias("q"))
     pieces = num.where("whole or cut").join(nxt, "k", "left")
     quality = F.when(F.col("whole"), F.get("l", F.lit(3))).otherwise(F.concat(F.lit("@"), F.coalesce("q", F.lit(""))))
     return pieces.select(F.get("l", F.lit(0)).alias("name"), F.get("l", F.lit(1)).alias("sequence"), quality.alias("quality"))
@@ -222,9 +289,20 @@ def tsv2fastq(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("@"), "name", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value"))
 
 
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of a chain file; a chain is a record, so chains are read side by side."""
+    import pandas as pd
+
+    def parse(parts):
+        for t in parts:
+            rows = [b for v in t["value"] for b in chain2tsv(("chain" + v.removeprefix("chain")).split("\n"))]
+            yield pd.DataFrame(rows, columns=["chromosome", "begin", "end", "destchromosome", "destbegin", "destend", "strand"])
+
+    return spark.read.option("lineSep", "\nchain").text(path).where(~F.col("value").startswith("#")).mapInPandas(parse, "chromosome string, begin long, end long, destchromosome string, destbegin long, destend long, strand string")
+
+
 def chain2tsv(lines: list[str]) -> list[tuple]:
-    """Blocks (chromosome, begin, end, destchromosome, destbegin, destend, strand) of a chain file, which has
-    to fit the driver."""
+    """Blocks (chromosome, begin, end, destchromosome, destbegin, destend, strand) of the lines of chains."""
     out, head = [], None
     at = dest = 0
     for line in lines:
@@ -245,10 +323,14 @@ def chain2tsv(lines: list[str]) -> list[tuple]:
     return out
 
 
-def write_lines(lines: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """value as text, in one part after the header if there is one."""
-    df = lines
-    if header:
-        top = lines.sparkSession.createDataFrame([(0, "\n".join(header))], "o int, value string")
-        df = top.union(lines.select(F.lit(1), "value")).coalesce(1).sortWithinPartitions("o").select("value")
-    df.write.mode("overwrite").text(path)
+def write_lines(rows: DataFrame, path: str, header: list[str] | None = None) -> None:
+    """value as text; the header, if there is one, at the top of each part, as the readers here expect it."""
+
+    def with_top(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(header, pa.string())], ["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    (rows.mapInArrow(with_top, "value string") if header else rows).write.mode("overwrite").text(path)

@@ -14,9 +14,24 @@ def mm2tsv(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", genes:
     p = F.split("value", r"\s+")
     body = spark.read.text(f"{folder}/{matrix}").where(~F.col("value").startswith("%"))
     x = body.select(F.get(p, F.lit(0)).cast("long").alias("r"), F.get(p, F.lit(1)).cast("long").alias("c"), F.get(p, F.lit(2)).cast("double").alias("count"))
-    # the line of sizes is the only one whose indices are the numbers of rows and columns and comes first
-    sized = number_partitions(x, "_at").where("_at > 0").drop("_at")
-    return sized.join(names(genes, "gene", "r"), "r").join(names(cells, "cell", "c"), "c").select("gene", "cell", "count")
+    rows, cols = names(genes, "gene", "r"), names(cells, "cell", "c")
+    # the line of sizes says how many rows, columns and other lines there are; an entry may happen to say the same
+    sizes = F.struct("r", "c", "count") == F.struct(F.lit(rows.count()).alias("r"), F.lit(cols.count()).alias("c"), F.lit(float(x.count() - 1)).alias("count"))
+    both = x.where(sizes).limit(2)
+    entries = x.where(~sizes).union(both.limit(both.count() - 1))
+    return entries.join(rows, "r").join(cols, "c").select("gene", "cell", "count")
+
+
+def write_10x(df: DataFrame, folder: str, gene: str = "gene", cell: str = "cell", value: str = "count") -> None:
+    """A folder with matrix.mtx, features.tsv and barcodes.tsv; names are in one part each, as their order counts."""
+    x, rows, cols = tsv2mm(df, gene, cell, value)
+    one = lambda t, c, n, name: t.repartition(1).sortWithinPartitions(n).select(F.col(c).cast("string").alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+    one(rows, gene, "r", "features.tsv")
+    one(cols, cell, "c", "barcodes.tsv")
+    spark = df.sparkSession
+    top = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{rows.count()} {cols.count()} {x.count()}",)], "value string")
+    top.coalesce(1).write.mode("overwrite").text(f"{folder}/matrix.mtx")
+    x.select(F.concat_ws(" ", F.col("r").cast("string"), F.col("c").cast("string"), F.col("count").cast("string")).alias("value")).write.mode("append").text(f"{folder}/matrix.mtx")
 
 
 def tsv2mm(df: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "count") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ def test_tsv(spark, tmp_path):
     assert s.read_tsv(spark, str(tmp_path / "out")).count() == 3
     assert check_tsv(spark, put(tmp_path, "b.tsv", "a\tb\n1\t2\n3\n")).first()["fields"] == 1
     with pytest.raises(ValueError):
-        s.read_tsv(spark, "x.bgz")
+        s.read_tsv(spark, "x.rz")
     s.write_csv(df, str(tmp_path / "csv"))
     assert s.read_csv(spark, str(tmp_path / "csv")).count() == 3
 

@@ -126,3 +126,84 @@ def test_splitting_recomputes_zyg(spark):
     assert got == [("C", "c", "v", "0.1"), ("G", "c", "v", "0.2")]
     line = variants.exportplink(df.withColumnsRenamed({"alleleSeq1": "alleleSeq1-s", "alleleSeq2": "alleleSeq2-s"}).withColumn("end", F.lit(6)).withColumn("type", F.lit("snp")).drop("sequenced", "zyg")).orderBy("line").first()[0]
     assert line == "1 1-5-6-snp-C 0 5 C G"
+
+
+def test_regions_that_end_on_the_border_of_a_bin_keep_their_boundary(spark):
+    a = [("1", 0, 16), ("1", 16, 32), ("1", 8, 40), ("1", 48, 64)]
+    b = [("1", 4, 32), ("1", 32, 36)]
+    make = lambda rows: spark.createDataFrame(rows, "chromosome string, begin long, end long")
+    for size in (4, 8, 16, 1000):
+        got = sorted(map(tuple, intervals.multireg({"a": make(a), "b": make(b)}, size).collect()))
+        cuts = sorted({p for _, x, y in a + b for p in (x, y)})
+        inside = lambda rows, p: int(any(x <= p < y for _, x, y in rows))
+        assert got == [("1", x, y, inside(a, x), inside(b, x)) for x, y in zip(cuts, cuts[1:]) if inside(a, x) or inside(b, x)], size
+        rest = sorted((r[1], r[2]) for r in intervals.regsubtract(make(a), make(b), size).collect())
+        assert rest == [(0, 4), (36, 40), (48, 64)], size
+
+
+def test_rounding_is_that_of_printf(spark):
+    from locusframe.functions.values import fixed
+
+    values = [0.5625, 0.2125, 0.125, 0.375, 2.5, 1e15 + 0.5, -0.0625, 33.335, 1234567.125, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 3):
+        assert [r[0] for r in df.select(fixed(F.col("x"), places)).collect()] == [f"%.{places}f" % v for v in values]
+    from locusframe.operators.select import select
+
+    got = select(df, 'f=format("a%8.2fb%-7.1f|%d%%",$x,$x,3)').collect()
+    assert [r[0] for r in got] == ["a%8.2fb%-7.1f|%d%%" % (v, v, 3) for v in values]
+
+
+def test_one_to_one_matches_of_a_long_chain(spark):
+    """Each pair only becomes the least when the one before is gone."""
+    n = 24
+    at = [0]
+    for i in range(2 * n - 1):
+        at.append(at[-1] + 200 - 3 * i)
+    rows = [("1", p, p + 1000, "dup", i) for i, p in enumerate(at)]
+    frame = lambda k: spark.createDataFrame(rows[k::2], "chromosome string, begin long, end long, type string, id long")
+    got = {(r["a_id"], r["b_id"]) for r in variants.sv_pairs(frame(0), frame(1)).collect()}
+    left, want = sorted((2 * abs(a[1] - b[1]), a[4], b[4]) for a in rows[::2] for b in rows[1::2] if abs(a[1] - b[1]) <= 250), set()
+    used = set()
+    for _, a, b in left:
+        if a not in used and b not in used:
+            want.add((a, b))
+            used |= {a, b}
+    assert got == want
+
+
+def test_lists_are_in_the_order_of_the_input(spark):
+    df = spark.createDataFrame([(i % 2, f"v{(i * 7) % 10}") for i in range(10)], "k long, v string")
+    assert [r[1] for r in group(df, "k", "list(v)").collect()] == ["v0,v4,v8,v2,v6", "v7,v1,v5,v9,v3"]
+
+
+def test_packed_files(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    from locusframe.sources.tsv import read_tsv
+
+    text = "#comment\na\tb\n" + "".join(f"{i}\tx{i}\n" for i in range(1000))
+    (tmp_path / "t.tsv.zst").write_bytes(zstandard.compress(text.encode()))
+    (tmp_path / "t.tsv.bgz").write_bytes(gzip.compress(text[:5000].encode()) + gzip.compress(text[5000:].encode()))
+    for name in ("t.tsv.zst", "t.tsv.bgz"):
+        df = read_tsv(spark, str(tmp_path / name))
+        assert df.columns == ["a", "b"] and df.count() == 1000
+    import pytest
+
+    with pytest.raises(ValueError):
+        read_tsv(spark, "x.rz")
+
+
+def test_a_fastq_file_that_is_read_in_parts(spark, tmp_path):
+    from locusframe.sources import fastq2tsv
+
+    rows = [(f"r{i}", "ACGT"[: 1 + i % 4] * 3, "@" + "F" * (3 * (1 + i % 4) - 1)) for i in range(400)]
+    (tmp_path / "a.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "517")
+    try:
+        got = [tuple(r) for r in fastq2tsv(spark, str(tmp_path / "a.fq")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted(rows)

@@ -1,17 +1,17 @@
 import pytest
-from locusframe.plans import genomic, relational  # noqa: F401
+from locusframe.plans import exchange, further, genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES, SQL
 from oracle import SF, compare
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     n = compare(QUERIES[name](spark, SF), SQL[name], SF)
     assert n > 0
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == {"clusterregions"}  # a running score; test_operators compares it with a plain loop
 
 
 def test_entry(spark):
