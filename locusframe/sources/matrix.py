@@ -13,7 +13,7 @@ def mm2tsv(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", genes:
     names = lambda f, c, n: number_partitions(spark.read.text(f"{folder}/{f}").select(F.get(F.split("value", "\t"), F.lit(0)).alias(c)), n).withColumn(n, F.col(n) + 1)
     p = F.split("value", r"\s+")
     body = spark.read.text(f"{folder}/{matrix}").where(~F.col("value").startswith("%"))
-    x = body.select(F.get(p, F.lit(0)).cast("long").alias("r"), F.get(p, F.lit(1)).cast("long").alias("c"), F.get(p, F.lit(2)).cast("double").alias("count"))
+    x = body.select(F.get(p, F.lit(0)).try_cast("long").alias("r"), F.get(p, F.lit(1)).try_cast("long").alias("c"), F.get(p, F.lit(2)).try_cast("double").alias("count"))
     rows, cols = names(genes, "gene", "r"), names(cells, "cell", "c")
     # the line of sizes says how many rows, columns and other lines there are; an entry may happen to say the same
     sizes = F.struct("r", "c", "count") == F.struct(F.lit(rows.count()).alias("r"), F.lit(cols.count()).alias("c"), F.lit(float(x.count() - 1)).alias("count"))
