@@ -135,7 +135,7 @@ def _map_sums(path: str, pattern: str, head: dict[bytes, int]):
                 words, extra = own.of(text)
                 freq = Counter(words)
                 n = extra + sum(map(mul, map(known.get, freq, repeat(0)), freq.values()))
-                for w in freq.keys() - known.keys():
+                for w in [w for w in freq if w not in known]:
                     name = name_of(w)
                     if name in long:
                         n += long[name] * freq[w]
