@@ -301,6 +301,8 @@ class Compiler:
             both = sum(((cond(c, args[0]) & cond(c, args[1])).cast("int") for c in chosen), F.lit(0))
             return Value(F.when(first > 0, F.lit(100.0) * both / first), "num")
         value = args[-1]
+        if chosen and how in lib.TYPED and all(c(value).kind == "num" for c in chosen):  # numbers stay numbers: no array, no text
+            return lib.of_columns(how, [F.when(cond(c, args[0]), c(value).col) if len(args) == 2 else c(value).col for c in chosen])
         got = [F.when(cond(c, args[0]), text(c(value))) if len(args) == 2 else text(c(value)) for c in chosen]
         array = F.filter(F.array(*got).cast("array<string>"), lambda x: x.isNotNull()) if got else F.array().cast("array<string>")
         return lib.aggregate(how, array)

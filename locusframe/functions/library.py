@@ -197,6 +197,26 @@ def aggregate(how: str, array: Column) -> Value:
     return Value(f(nums), "num")
 
 
+#: Aggregates that need no array of numeric columns.
+TYPED = ("min", "max", "sum", "avg", "stdev")
+
+
+def of_columns(how: str, cols: list[Column]) -> Value:
+    """The same of numeric columns, as plain arithmetic; nulls are passed over."""
+    cols = [c.cast("double") for c in cols]
+    if how in ("min", "max"):
+        return Value(cols[0] if len(cols) == 1 else (F.least if how == "min" else F.greatest)(*cols), "num")
+    some = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    n = F.when(some > 0, some)
+    whole = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
+    if how == "sum":
+        return Value(F.when(some > 0, whole), "num")
+    if how == "avg":
+        return Value(whole / n, "num")
+    squares = sum((F.coalesce((c - whole / n) * (c - whole / n), F.lit(0.0)) for c in cols), F.lit(0.0))
+    return Value(F.sqrt(squares / n), "num")
+
+
 def zyg(a: list[Value]) -> Value:
     """Zygosity from sequenced (may be left out), two alleles, ref and alt."""
     if len(a) == 4:

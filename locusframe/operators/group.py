@@ -20,10 +20,12 @@ from ..functions.library import glob
 from ..functions.parser import parse
 from ..functions.values import fixed, number, of_type, text
 from ..natural import nat_key, nat_sort, nat_sort_key
-from .select import _calculated, filter_rows, split_fields
+from .select import _calculated, filter_rows, split_fields, with_row
 
 #: More pivot columns than this are refused: the table would be wider than Spark plans well.
 MAX_PIVOT = 5000
+#: Rows of a window in which runs are found.
+RUN_CHUNK = 1 << 17
 _ALL = ("all", "-", "_")
 
 
@@ -184,42 +186,62 @@ def aggregated(df: DataFrame, keys: list[str], groups: list[str], pivot: list[st
             # of the few summary rows; a constant key where there is nothing to part by
             w = Window.partitionBy(*([model.col(p) for p in part] or [F.lit(1)]))
             out = out.withColumn(a.name, fixed(F.lit(100.0) * c / F.sum(c).over(w), 2))
-        elif a.how in ("q1", "q3"):
-            q = _quartile(df, keys, a).select(*[model.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], model.col(a.name))
-            cond = [out[f"`{k}`"].eqNullSafe(q[f"_k{i}"]) for i, k in enumerate(keys)]
-            out = out.join(q, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    # all quartiles of a field in one pass
+    for field in dict.fromkeys(a.field for a in aggregates if a.how in ("q1", "q3")):
+        own = [a for a in aggregates if a.field == field and a.how in ("q1", "q3")]
+        q = _quartiles(df, keys, field, own).select(*[model.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[model.col(a.name) for a in own])
+        cond = [out[f"`{k}`"].eqNullSafe(q[f"_k{i}"]) for i, k in enumerate(keys)]
+        out = out.join(q, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     return out.select(*[model.col(k) for k in keys], *[model.col(a.name) for a in aggregates])
 
 
-def _quartile(df: DataFrame, keys: list[str], a: Aggregate) -> DataFrame:
-    """Median of the lower or upper half without the middle element, from counts of values."""
+def _quartiles(df: DataFrame, keys: list[str], field: str, aggregates: list[Aggregate]) -> DataFrame:
+    """Medians of the lower and the upper half without the middle element, from counts of values."""
     k = [model.col(x) for x in keys]
-    counts = df.select(*k, _measure(df, a.field).cast("double").alias("_v")).where("_v is not null").groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.select(*k, _measure(df, field).cast("double").alias("_v")).where("_v is not null").groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
     n = F.sum("_c").over(Window.partitionBy(*k))
-    upto = F.sum("_c").over(Window.partitionBy(*k).orderBy("_v"))
+    upto = F.sum("_c").over(Window.partitionBy(*k).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("_n", n).withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
     half = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
-    first = F.when(F.col("_n") > 1, F.col("_n") - half).otherwise(0) if a.how == "q3" else F.lit(0)
-    low, high = first + F.floor((half - 1) / 2), first + F.floor(half / 2)
     at = lambda p: F.max(F.when((F.col("_from") <= p) & (p < F.col("_to")), F.col("_v")))
-    return placed.groupBy(*k).agg(((at(low) + at(high)) / 2).alias(a.name))
+    out = []
+    for a in aggregates:
+        first = F.when(F.col("_n") > 1, F.col("_n") - half).otherwise(0) if a.how == "q3" else F.lit(0)
+        low, high = first + F.floor((half - 1) / 2), first + F.floor(half / 2)
+        out.append(((at(low) + at(high)) / 2).alias(a.name))
+    return placed.groupBy(*k).agg(*out)
+
+
+def _run_numbers(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """df with the number (_run) of the run of rows that agree in fields, in order."""
+    x = with_row(df, order, "_at").withColumn("_chunk", F.floor(F.col("_at") / RUN_CHUNK))
+    own = F.struct(*[model.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    w = Window.partitionBy("_chunk").orderBy("_at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lasts = x.groupBy("_chunk").agg(F.max_by(own, "_at").alias("_last")).select((F.col("_chunk") + 1).alias("_chunk"), "_last")
+    x = x.join(lasts, "_chunk", "left")
+    first = F.row_number().over(w) == 1
+    before = F.when(first, F.col("_last")).otherwise(F.lag(own).over(w))
+    new = before.isNull()
+    for i, f in enumerate(fields):
+        new = new | ~before[f"f{i}"].eqNullSafe(model.col(f))
+    x = x.withColumn("_in", F.sum(new.cast("int")).over(upto))
+    counts = x.groupBy("_chunk").agg(F.max("_in").alias("_n"))
+    base = counts.select("_chunk", (F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).alias("_base"))  # a row for each chunk
+    return x.join(base, "_chunk").withColumn("_run", F.col("_base") + F.col("_in")).select(*[model.col(c) for c in df.columns], "_run")
 
 
 def runs(df: DataFrame, fields: list[str], order: list[str], sums: list[str] | None = None, stats: list[str] | None = None, sorted_input: bool = True) -> DataFrame:
     """Group rows that follow each other and agree in fields (all that agree unless sorted_input). Other
     columns are joined by commas in order; sums are added up; stats give min, total, count and max.
 
-    A run is found by a window over all rows, so in one task: only for the order of files. Unsorted grouping
-    has no such step."""
+    Rows are numbered in order, and windows are over RUN_CHUNK rows each; what a chunk needs of those before it, their
+    last row and their number of runs, comes from a table with a row for each chunk."""
     sums, stats = sums or [], stats or []
     keys = [model.col(f) for f in fields]
     o = [model.col(c) for c in order]
     if sorted_input:
-        w = Window.orderBy(*o)
-        new = F.lit(False)
-        for f in fields:
-            new = new | ~F.lag(model.col(f)).over(w).eqNullSafe(model.col(f))
-        df = df.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        df = _run_numbers(df, fields, order)
         keys = [*keys, F.col("_run")]
     rest = [c for c in df.columns if c not in [*fields, *sums, *stats, "_run"]]
     text_of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[x.alias(f"o{i}") for i, x in enumerate(o)], model.col(c).cast("string").alias("v")))), lambda s: F.coalesce(s["v"], F.lit(""))), ",")

@@ -118,35 +118,37 @@ def overlap_counts(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame
 # --- algebra -----------------------------------------------------------------------------------------
 
 
-def _events(df: DataFrame, name: str, size: int) -> DataFrame:
+def _events(df: DataFrame, name: str, size: int, by: list[str]) -> DataFrame:
     """chromosome, _bin, pos, the change of the number of regions (name), and whether a region begins or ends.
     An end on the border of two bins is an edge in the next bin too, where another region may go on."""
-    cut = df.select("chromosome", "begin", "end", _bins(F.col("begin"), F.col("end"), size).alias("_bin"))
+    cut = df.select("chromosome", *by, "begin", "end", _bins(F.col("begin"), F.col("end"), size).alias("_bin"))
     b, e = F.greatest("begin", F.col("_bin") * size), F.least("end", (F.col("_bin") + 1) * size)
     event = lambda bin_, pos, change, edge: F.struct(bin_.alias("_bin"), pos.alias("pos"), F.lit(change).alias(name), edge.alias("edge"))
     here, ends = F.col("_bin"), e == F.col("end")
     two = F.array(event(here, b, 1, (b == F.col("begin")).cast("int")), event(here, e, -1, ends.cast("int")))
     border = F.array(event(here + 1, e, 0, F.lit(1)))
-    return cut.where("begin < end").select("chromosome", F.inline(F.when(ends & (e == (here + 1) * size), F.concat(two, border)).otherwise(two)))
+    return cut.where("begin < end").select("chromosome", *by, F.inline(F.when(ends & (e == (here + 1) * size), F.concat(two, border)).otherwise(two)))
 
 
-def segments(sets: dict[str, DataFrame], size: int = BIN) -> DataFrame:
+def segments(sets: dict[str, DataFrame], size: int = BIN, by: list[str] | None = None) -> DataFrame:
     """chromosome, _bin, begin, end, the number of regions of each set there, and edge: a region begins or
-    ends at its begin. Neighbouring rows of a bin touch; bins cut."""
+    ends at its begin. Neighbouring rows of a bin touch; bins cut. by: columns whose values are kept apart."""
+    by = by or []
     parts = []
     for name, df in sets.items():
-        e = _events(df, f"n_{name}", size)
-        parts.append(e.select("chromosome", "_bin", "pos", *[(F.col(f"n_{s}") if s == name else F.lit(0)).alias(f"n_{s}") for s in sets], "edge"))
-    events = reduce(DataFrame.union, parts).groupBy("chromosome", "_bin", "pos").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in sets], F.max("edge").alias("edge"))
-    w = Window.partitionBy("chromosome", "_bin").orderBy("pos")
+        e = _events(df, f"n_{name}", size, by)
+        parts.append(e.select("chromosome", *by, "_bin", "pos", *[(F.col(f"n_{s}") if s == name else F.lit(0)).alias(f"n_{s}") for s in sets], "edge"))
+    events = reduce(DataFrame.union, parts).groupBy("chromosome", *by, "_bin", "pos").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in sets], F.max("edge").alias("edge"))
+    w = Window.partitionBy("chromosome", *by, "_bin").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("chromosome", "_bin", F.col("pos").alias("begin"), F.lead("pos").over(w).alias("end"), *[F.sum(f"n_{s}").over(upto).alias(f"n_{s}") for s in sets], "edge").where("end is not null")
+    return events.select("chromosome", *by, "_bin", F.col("pos").alias("begin"), F.lead("pos").over(w).alias("end"), *[F.sum(f"n_{s}").over(upto).alias(f"n_{s}") for s in sets], "edge").where("end is not null")
 
 
-def _merge(pieces: DataFrame, size: int, values: list[str], edges: bool) -> DataFrame:
+def _merge(pieces: DataFrame, size: int, values: list[str], edges: bool, by: list[str] | None = None) -> DataFrame:
     """Touching pieces of equal values as one, in bins and then across them; with edges not where a region
     begins or ends."""
-    w = Window.partitionBy("chromosome", "_bin").orderBy("begin")
+    by = by or []
+    w = Window.partitionBy("chromosome", *by, "_bin").orderBy("begin")
     differs = F.coalesce(F.lag("end").over(w) != F.col("begin"), F.lit(True))
     for v in values:
         differs = differs | ~F.lag(v).over(w).eqNullSafe(F.col(v))
@@ -154,21 +156,21 @@ def _merge(pieces: DataFrame, size: int, values: list[str], edges: bool) -> Data
         differs = differs | (F.col("edge") == 1)
     marked = pieces.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # the first of a run tells whether a true edge is there
-    runs = marked.groupBy("chromosome", "_bin", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("edge", "begin").alias("edge"))
+    runs = marked.groupBy("chromosome", *by, "_bin", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("edge", "begin").alias("edge"))
     lo, hi = F.col("_bin") * size, (F.col("_bin") + 1) * size
     at_edge = (F.col("begin") == lo) | (F.col("end") == hi)
-    done = runs.where(~at_edge).select("chromosome", "begin", "end", *values)
+    done = runs.where(~at_edge).select("chromosome", *by, "begin", "end", *values)
     # what a bin edge has cut: two rows of a bin at most
     cut = runs.where(at_edge)
-    w2 = Window.partitionBy("chromosome").orderBy("begin")
+    w2 = Window.partitionBy("chromosome", *by).orderBy("begin")
     differs = F.coalesce(F.lag("end").over(w2) != F.col("begin"), F.lit(True))
     for v in values:
         differs = differs | ~F.lag(v).over(w2).eqNullSafe(F.col(v))
     if edges:
         differs = differs | (F.col("edge") == 1)
     marked = cut.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = marked.groupBy("chromosome", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return done.union(stitched.select("chromosome", "begin", "end", *values))
+    stitched = marked.groupBy("chromosome", *by, "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return done.union(stitched.select("chromosome", *by, "begin", "end", *values))
 
 
 def _sweep(sets: dict[str, DataFrame], keep: Callable[..., Column], size: int, edges: bool) -> DataFrame:
@@ -188,14 +190,15 @@ def regjoin(a: DataFrame, b: DataFrame | None = None, size: int = BIN) -> DataFr
     return full.union(alone)
 
 
-def regjoin_fields(a: DataFrame, fields: list[str]) -> DataFrame:
-    """Regions that touch or overlap and agree in fields, as one with the last end."""
-    x = regions(a, fields)
-    part = Window.partitionBy("chromosome", *[model.col(f) for f in fields]).orderBy("begin", "end")
-    upto = F.max("end").over(part.rowsBetween(Window.unboundedPreceding, -1))
-    marked = x.withColumn("_new", F.coalesce(F.col("begin") > upto, F.lit(True)).cast("int"))
-    marked = marked.withColumn("_run", F.sum("_new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("chromosome", *[model.col(f) for f in fields], "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).select("chromosome", "begin", "end", *[model.col(f) for f in fields])
+def regjoin_fields(a: DataFrame, fields: list[str], size: int = BIN) -> DataFrame:
+    """Regions that touch or overlap and agree in fields, as one with the last end. Regions of length zero stay
+    where no other of the same fields covers or touches them. It is the sweep of regjoin, the fields kept apart."""
+    by = [f"_f{i}" for i in range(len(fields))]
+    x = regions(a, fields).select("chromosome", "begin", "end", *[model.col(f).alias(b) for f, b in zip(fields, by)])
+    full = _merge(segments({"a": x}, size, by).where("n_a > 0"), size, [], False, by)
+    same = reduce(lambda p, q: p & q, [F.col(f"a_{b}").eqNullSafe(F.col(f"b_{b}")) for b in by], F.lit(True))
+    alone = overlap_join(x.where("begin = end").distinct(), full, "left_anti", True, bin_size=size, condition=same)
+    return full.unionByName(alone).select("chromosome", "begin", "end", *[F.col(b).alias(f) for f, b in zip(fields, by)])
 
 
 def regsubtract(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
@@ -231,7 +234,7 @@ def regcollapse(a: DataFrame, fields: list[str], score: str | None = None, numbe
     else:
         got = pairs.groupBy(*key).agg(*[F.array_join(F.array_sort(F.collect_set(F.col(f"b_{f}").cast("string"))), ",").alias(f) for f in fields], *[F.sum(f"b_{n}").alias(n) for n in numbers])
     got = got.withColumnsRenamed({"a_" + k: k for k in KEYS})
-    return regjoin_fields(got, [*fields, *numbers])
+    return regjoin_fields(got, [*fields, *numbers], size)
 
 
 def covered(a: DataFrame, by: str | None = None) -> DataFrame:

@@ -239,8 +239,13 @@ def _field(name: str):
 def annotate_genes(a: DataFrame, genes: DataFrame, upstream: int = 2000, splice: int = 8, essential: int = 2, bin_size: int = BIN) -> DataFrame:
     """a with the transcripts that overlap each row and where it hits them: impact by place (CDS, UTR5, UTR3,
     RNA, intron, splice and ESPLICE at the ends of introns, upstream, downstream) and a description
-    strand:transcript:element. The gravest place of a transcript counts. Effects on the protein sequence
-    aren't predicted; see the README."""
+    strand:transcript:element. The gravest place of a transcript counts. effects.annotate_effects looks at the
+    protein as well."""
+    return listed_hits(a, gene_hits(a, genes, upstream, splice, essential, bin_size))
+
+
+def gene_hits(a: DataFrame, genes: DataFrame, upstream: int, splice: int, essential: int, bin_size: int) -> DataFrame:
+    """A row for each row of a (a_row, a_*) and transcript it hits (b_name, null without any), with v: impact, descr."""
     from ..functions.library import IMPACTS
 
     x, y = regions(a), regions(gene_elements(genes, upstream), ["type", "element", "name", "strand"])
@@ -250,10 +255,15 @@ def annotate_genes(a: DataFrame, genes: DataFrame, upstream: int = 2000, splice:
     rank = F.array_position(F.array(*map(F.lit, [i if i != "CDSMIS" else "CDS" for i in IMPACTS])), place)
     descr = F.concat(F.col("b_strand"), F.col("b_name"), F.lit(":"), F.when(F.col("b_type") == "intron", "intron").when(F.col("b_element") > 0, "exon").otherwise(F.col("b_type")), F.when(F.col("b_element") > 0, F.col("b_element").cast("string")).otherwise(""))
     own = [F.first(model.col("a_" + c)).alias("a_" + c) for c in x.columns]
-    one = pairs.groupBy("a_row", "b_name").agg(F.max_by(F.struct(place.alias("impact"), descr.alias("descr")), F.struct(rank, descr)).alias("v"), *own)
+    return pairs.groupBy("a_row", "b_name").agg(F.max_by(F.struct(place.alias("impact"), descr.alias("descr")), F.struct(rank, descr)).alias("v"), *own)
+
+
+def listed_hits(a: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows of gene_hits as lists again, a row for each row of a."""
+    columns = regions(a).columns
     lists = F.array_sort(F.collect_list(F.when(F.col("b_name").isNotNull(), F.struct(F.col("b_name").alias("name"), F.col("v.impact").alias("impact"), F.col("v.descr").alias("descr")))))
-    out = one.groupBy("a_row").agg(lists.alias("_l"), *[F.first(model.col("a_" + c)).alias(c) for c in x.columns])
-    return out.select(*[model.col(c) for c in x.columns], *[F.coalesce(F.array_join(F.transform("_l", _field(k)), ";"), F.lit("")).alias(f"gene_{n}") for n, k in (("impact", "impact"), ("gene", "name"), ("descr", "descr"))])
+    out = one.groupBy("a_row").agg(lists.alias("_l"), *[F.first(model.col("a_" + c)).alias(c) for c in columns])
+    return out.select(*[model.col(c) for c in columns], *[F.coalesce(F.array_join(F.transform("_l", _field(k)), ";"), F.lit("")).alias(f"gene_{n}") for n, k in (("impact", "impact"), ("gene", "name"), ("descr", "descr"))])
 
 
 def _turned(x):

@@ -308,6 +308,52 @@ def annotate_genes(t):
     return variants.annotate_genes(a, genes(t).withColumnRenamed("transcript", "name"), upstream=0).select("id", "begin", "gene_impact", "gene_gene")
 
 
+_CODING = "(substr(seq, 51, 50 + p_size) || substr(seq, 401, 100))"
+_LONG = "repeat(translate(lpad(CAST(p_retailprice * 100 AS BIGINT)::VARCHAR || p_partkey, 20, '0'), '0123456789', 'ACGTGCATCA'), 50)"
+_INDEX = "(position({0}[1] IN 'TCAG') - 1) * 16 + (position({0}[2] IN 'TCAG') - 1) * 4 + position({0}[3] IN 'TCAG')"
+_AMINOS = "'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'"
+
+
+def long_genome(t) -> DataFrame:
+    """A thousand bases for each part, where its gene lies."""
+    seq = F.translate(F.lpad(F.concat((F.col("p_retailprice") * 100).cast("long").cast("string"), F.col("p_partkey").cast("string")), 20, "0"), "0123456789", "ACGTGCATCA")
+    return t("part").select((F.col("p_size") % 22 + 1).cast("string").alias("chromosome"), (F.col("p_partkey") * 1000).alias("start"), F.repeat(seq, 50).alias("seq"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_size, {_LONG} AS seq, p_size % 2 = 0 AS plus FROM part), c AS (SELECT id, plus, seq[62] AS ref, CASE seq[62] WHEN 'A' THEN 'C' ELSE 'A' END AS alt, CASE WHEN plus THEN {_CODING} ELSE reverse(translate({_CODING}, 'ACGT', 'TGCA')) END AS s, CASE WHEN plus THEN 11 ELSE 150 + p_size - 12 END AS o FROM p),
+k AS (SELECT *, o // 3 AS n, s[3 * (o // 3) + 1:3 * (o // 3) + 3] AS old, CASE WHEN plus THEN alt ELSE translate(alt, 'ACGT', 'TGCA') END AS new FROM c), m AS (SELECT *, old[1:o % 3] || new || old[o % 3 + 2:] AS became FROM k),
+x AS (SELECT id, s[o + 1] AS old_base, new, o, n, length(old) AS width, {_AMINOS}[{_INDEX.format('old')}] AS a, {_AMINOS}[{_INDEX.format('became')}] AS b FROM m)
+SELECT id, CASE WHEN width < 3 OR a = b THEN 'CDSsilent' WHEN a = '*' THEN 'CDSSTOP' WHEN b = '*' THEN 'CDSNONSENSE' ELSE 'CDSMIS' END AS gene_impact, 'c.' || (o + 1) || old_base || '>' || new || ':p.' || CASE WHEN width < 3 THEN 'X' ELSE a END || (n + 1) || CASE WHEN width < 3 OR a = b THEN '=' ELSE b END AS change FROM x""")
+def annotate_effects(t):
+    from ..operators.effects import annotate_effects
+
+    base = F.substring("seq", 62, 1)
+    a = long_genome(t).select("chromosome", (F.col("start") + 61).alias("begin"), (F.col("start") + 62).alias("end"), (F.col("start") / 1000).cast("long").alias("id"), base.alias("ref"), F.when(base == "A", "C").otherwise("A").alias("alt"))
+    out = annotate_effects(a, genes(t).withColumnRenamed("transcript", "name"), long_genome(t), upstream=0, chunk=1000)
+    return out.select("id", "gene_impact", F.regexp_extract("gene_descr", "c[.].*$", 0).alias("change"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'seed' WHEN 1 THEN 'mature' WHEN 2 THEN 'loop' WHEN 3 THEN 'arm' WHEN 4 THEN 'flank' ELSE CASE WHEN p_size % 2 = 0 THEN 'upstream' ELSE 'downstream' END END AS mir_impact, 'm' || p_partkey AS mir_mir FROM part")
+def annotate_mir(t):
+    from ..operators.effects import annotate_mir
+
+    k, b = F.col("p_partkey"), F.col("p_partkey") * 10000
+    plus = F.col("p_size") % 2 == 0
+    mirs = t("part").select(F.lit("1").alias("chromosome"), b.alias("begin"), (b + 90).alias("end"), F.when(plus, "+").otherwise("-").alias("strand"), F.concat(F.lit("m"), k.cast("string")).alias("name"), (b + 10).alias("mature1start"), (b + 30).alias("mature1end"), (b + 35).alias("loopstart"), (b + 50).alias("loopend"), (b + 55).alias("mature2start"), (b + 75).alias("mature2end"))
+    # within the seed on either strand: bases 2 to 7 from the begin or from the end of the mature sequence
+    at = F.when(k % 6 == 0, F.when(plus, 13).otherwise(26)).when(k % 6 == 1, 20).when(k % 6 == 2, 40).when(k % 6 == 3, 85).when(k % 6 == 4, -50).otherwise(-500)
+    a = t("part").select(F.lit("chr1").alias("chromosome"), (b + at).alias("begin"), (b + at + 1).alias("end"), k.alias("id"))
+    return annotate_mir(a, mirs).select("id", "mir_impact", "mir_mir")
+
+
+@query(f"""SELECT a.id, a.begin, arg_min(b.brand, struct_pack(x := b.begin, y := b."end", z := b.brand)) AS mark FROM (SELECT row_number() OVER () AS k, * FROM ({A})) a LEFT JOIN ({B}) b ON a.chromosome = b.chromosome AND a.begin < b."end" AND b.begin < a."end" GROUP BY a.k, a.id, a.begin""")
+def annotate_databases(t):
+    from ..operators.annotate import annotate, describe
+
+    db = describe("/data/reg_hg_brands.tsv", regions_b(t), ["name\tmark", "fields\tbrand"])
+    return annotate(regions_a(t).select("id", "chromosome", "begin", "end"), [db], bin_size=SIZE).select("id", "begin", "mark")
+
+
 _LIFT = "SELECT '1' AS chromosome, s_suppkey * 100 + s_suppkey * 7 % 60 AS begin, s_suppkey * 100 + s_suppkey * 7 % 60 + 4 AS \"end\", s_suppkey AS id FROM supplier"
 
 

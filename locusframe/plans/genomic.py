@@ -70,7 +70,7 @@ def regjoin_two(t):
 
 @query(_islands(A, "flag"))
 def regjoin_fields(t):
-    return intervals.regjoin_fields(regions_a(t), ["flag"])
+    return intervals.regjoin_fields(regions_a(t), ["flag"], SIZE)
 
 
 @query(f'SELECT chromosome, begin, "end" FROM ({_segments(B, A)}) WHERE na > 0 AND nb = 0')
