@@ -19,7 +19,11 @@ ASCII_SPACE = "\x20\x09-\x0d"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where it was put on the driver's path only."""
+    """Let Python workers import this package where it was put on the driver's path only, and bound what a batch
+    of texts takes in a worker, unless the session says otherwise."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "4000")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -346,3 +346,13 @@ def near_duplicates(
     alone = F.col("n_links").isNull()
     cid = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(False)).alias("kept"))
+
+
+#: The same rows of a table embeddings (vec_id, embedding) in DuckDB: all pairs are compared.
+SQL = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT k, vec_id, list_transform(e, lambda x: x / m) AS e FROM (SELECT *, list_max(list_transform(e, lambda x: abs(x))) AS m FROM v) WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND m > 0),
+l AS (SELECT a.k AS x, b.k AS y FROM ok a JOIN ok b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(k, r) AS (SELECT x, x FROM l UNION SELECT l.y, reach.r FROM reach JOIN l ON l.x = reach.k),
+c AS (SELECT reach.k, min(v.vec_id) AS component_id FROM reach JOIN v ON v.k = reach.r GROUP BY reach.k),
+n AS (SELECT x AS k, count(*) AS n_links FROM l GROUP BY x)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, coalesce(n_links, 0) AS n_links, CAST(coalesce(component_id, vec_id) AS BIGINT) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept FROM v LEFT JOIN c USING (k) LEFT JOIN n USING (k)"""

@@ -82,6 +82,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import forest, quality, suffix
 
-    return {"op6_quality": quality.SQL}
+    return {"op3_embedding_dedup": forest.SQL, "op5_suffix_dedup": suffix.SQL, "op6_quality": quality.SQL}

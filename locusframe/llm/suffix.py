@@ -402,3 +402,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
+
+
+#: The rows of report() of a table documents (doc_id, text) in DuckDB: every string of 200 bytes is listed.
+SQL = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, unnest(range(0, length(h) // 2 - 199)) AS s, h FROM d WHERE length(h) >= 400), i AS (SELECT k, s, md5_number(substr(h, 2 * s + 1, 400)) AS m FROM w),
+twice AS (SELECT m FROM i GROUP BY m HAVING count(*) > 1), r AS (SELECT k, s FROM i JOIN twice USING (m)),
+e AS (SELECT k, s, CASE WHEN s <= lag(s) OVER (PARTITION BY k ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM r), g AS (SELECT k, s, sum(new) OVER (PARTITION BY k ORDER BY s) AS run FROM e),
+spans AS (SELECT k, run, min(s) AS a, max(s) + 200 AS z FROM g GROUP BY k, run),
+pieces AS (SELECT k, z AS a, lead(a) OVER (PARTITION BY k ORDER BY a) AS z FROM spans UNION ALL SELECT k, 0, min(a) FROM spans GROUP BY k),
+kept AS (SELECT k, string_agg(CASE WHEN p.z IS NULL THEN substr(h, 2 * p.a + 1) ELSE substr(h, 2 * p.a + 1, 2 * (p.z - p.a)) END, '' ORDER BY p.a) AS h FROM pieces p JOIN d USING (k) GROUP BY k),
+n AS (SELECT k, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans FROM spans GROUP BY k)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n.spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)"""

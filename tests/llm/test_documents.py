@@ -383,7 +383,45 @@ def test_lm_gradient():
     assert -lm.score(after, docs, 0).sum() < before - 1
 
 
+def test_suffix_gives_the_rows_of_its_sql(docs, tmp_path):
+    from oracle import compare
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    compare(suffix.report(docs), suffix.SQL, tmp_path)
+
+
+def test_packing_has_a_defined_order_of_ties(spark):
+    """Equal pieces go into sequences in the order of the rows, so two runs over one table agree."""
+    df = spark.createDataFrame([(i % 3, "the river " * (1 + i % 2)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    a, b = (sorted(map(tuple, packing.packing(df, P.path("word_bpe_49k.json"), capacity=16).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    line, words = "x" * 300_000, "The river runs by a quiet town. " * 12_000
+    df = spark.createDataFrame([(1, line), (2, words), (3, None), (4, line)], "doc_id long, text string")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in bytebpe.token_counts(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    assert got == {1: len(t.encode(line).ids), 2: len(t.encode(words).ids), 3: 0, 4: len(t.encode(line).ids)}
+    enc = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in bytebpe.encoding_digest(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert all(enc[i][1] == hashlib.sha256((x or "").encode()).hexdigest() for i, x in ((1, line), (2, words), (3, None), (4, line)))
+    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix.report(df).collect()}
+    assert out[1] == out[4] == (len(line), len(line)) and out[2] == (len(words), len(words)) and out[3] == (0, 0)
+    scores = {r["doc_id"]: r["score"] for r in lm.lm_scores(df, words=20, head_size=25).collect()}
+    assert all(s < 0 for s in scores.values()) and scores[1] == pytest.approx(scores[4], rel=1e-6)
+
+
+def test_token_counts_join_what_the_head_lacks(docs):
+    a, b = (sorted(map(tuple, bytebpe.token_counts(docs, P.path("byte_bpe_50k.json"), P.PATTERN, head=n).collect()), key=repr) for n in (1 << 18, 40))
+    assert a == b
+
+
 def test_empty_tables(empty, labels):
+    assert bytebpe.encoding_digest(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    for f in (lambda d: toxicity.keep_clean(d, labels), quality.keep_good, simhash.keep_one, suffix.remove_repeats):
+        assert f(empty).count() == 0 and f(empty).columns == empty.columns
     assert bytebpe.token_counts(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
     assert suffix.report(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
@@ -394,7 +432,7 @@ def test_empty_tables(empty, labels):
 
 
 def test_clashing_columns(clashing, docs, labels):
-    for f in (lambda d: suffix.report(d), lambda d: simhash.near_duplicates(d), lambda d: quality.quality(d), lambda d: bytebpe.token_counts(d, P.path("byte_bpe_50k.json"), P.PATTERN)):
+    for f in (lambda d: suffix.report(d), lambda d: simhash.near_duplicates(d), lambda d: quality.quality(d), lambda d: bytebpe.token_counts(d, P.path("byte_bpe_50k.json"), P.PATTERN), lambda d: bytebpe.encoding_digest(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), lambda d: toxicity.toxicity(d, labels), lambda d: packing.packing(d, P.path("word_bpe_49k.json")).drop("sequence_id", "offset")):
         a, b = f(clashing), f(docs)
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     for f in (quality.keep_good, simhash.keep_one, suffix.remove_repeats, lambda d: toxicity.keep_clean(d, labels)):
@@ -404,6 +442,14 @@ def test_clashing_columns(clashing, docs, labels):
         assert sorted(r[0] or -1 for r in out.collect()) == sorted(r[0] or -1 for r in f(docs).collect())
 
 
+def test_pipeline_of_no_documents(empty, labels, tmp_path):
+    import corpus_pipeline as c
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert c.run(empty.sparkSession, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(docs, labels, rows, tmp_path):
     import corpus_pipeline as c
 

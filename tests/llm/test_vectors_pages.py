@@ -63,6 +63,18 @@ def test_forest_joins_hot_vectors_by_broadcast(spark):
     assert all(got[i] == (49, 0) for i in range(50)) and len(got) == 53
 
 
+def test_forest_gives_the_rows_of_its_sql(spark, tmp_path):
+    from oracle import compare
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 8))
+    near = [b + rng.standard_normal(8) * 0.1 for b in base[:10] for _ in range(3)]
+    rows = [(i, v.tolist()) for i, v in enumerate([*base, *near])] + [(500, None), (501, [0.0] * 8), (502, [1.0] * 7 + [None]), (503, [float("inf")] * 8), (3, base[3].tolist()), (504, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert compare(forest.near_duplicates(df, leaf=20), forest.SQL, tmp_path) == len(rows)
+
+
 def test_forest_empty(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
