@@ -112,7 +112,8 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SH
 @guarded
 def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """docs without the rows that the rules reject, and without the lines over the limit in the text of the
-    others; n_chars, where there is one, follows. Other columns as they are."""
+    others; n_chars, where there is one, follows. Other columns as they are. Null or empty text is rejected, as it
+    has no words; repeated rows get the same verdict, and equal texts of a host count once. Empty table: no rows."""
     keyed = with_key(docs)
     measured = _measured(keyed)
     verdicts = _verdicts(measured, max_docs, max_share, min_left, lines=True).select("_k", "kept", "gone_lines")
