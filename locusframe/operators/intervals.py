@@ -159,18 +159,17 @@ def _merge(pieces: DataFrame, size: int, values: list[str], edges: bool, by: lis
     runs = marked.groupBy("chromosome", *by, "_bin", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("edge", "begin").alias("edge"))
     lo, hi = F.col("_bin") * size, (F.col("_bin") + 1) * size
     at_edge = (F.col("begin") == lo) | (F.col("end") == hi)
-    done = runs.where(~at_edge).select("chromosome", *by, "begin", "end", *values)
-    # what a bin edge has cut: two rows of a bin at most
-    cut = runs.where(at_edge)
-    w2 = Window.partitionBy("chromosome", *by).orderBy("begin")
-    differs = F.coalesce(F.lag("end").over(w2) != F.col("begin"), F.lit(True))
+    # what a bin edge has cut, two rows of a bin at most, is in one window; the rest stays by bin and as it is
+    runs = runs.withColumn("_cut", at_edge).withColumn("_group", F.when(~at_edge, F.col("_bin")))
+    w2 = Window.partitionBy("chromosome", *by, "_group").orderBy("begin")
+    differs = ~F.col("_cut") | F.coalesce(F.lag("end").over(w2) != F.col("begin"), F.lit(True))
     for v in values:
         differs = differs | ~F.lag(v).over(w2).eqNullSafe(F.col(v))
     if edges:
         differs = differs | (F.col("edge") == 1)
-    marked = cut.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = marked.groupBy("chromosome", *by, "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return done.union(stitched.select("chromosome", *by, "begin", "end", *values))
+    marked = runs.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = marked.groupBy("chromosome", *by, "_group", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return stitched.select("chromosome", *by, "begin", "end", *values)
 
 
 def _sweep(sets: dict[str, DataFrame], keep: Callable[..., Column], size: int, edges: bool) -> DataFrame:
