@@ -37,7 +37,7 @@ from .common import discard, guarded, materialise, only, with_key
 
 LENGTH, Q = 200, 48
 #: Contexts of one bucket that a task compares by itself; larger buckets are refined by a shuffle.
-HOT = 5_000
+HOT = 2_000
 _SEGMENT = 1 << 18
 _POS = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(20240607)
@@ -228,12 +228,12 @@ def _map_compare(length: int):
         held: list[pa.RecordBatch] = []
 
         def each(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            """Some thousand contexts at once, never a part of a bucket."""
+            """Some hundred contexts at once (a position takes about 90 bytes), never a part of a bucket."""
             h = t.column("h").to_numpy()
             edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
             first = 0
-            for e, following in zip(edges[1:], [*edges[2:], len(h) + 4000]):
-                if following - first > 4000:
+            for e, following in zip(edges[1:], [*edges[2:], len(h) + 1000]):
+                if following - first > 1000:
                     yield _compare(t.slice(first, e - first), length)
                     first = e
 
