@@ -131,10 +131,10 @@ def value_histogram(segments: DataFrame, targets: DataFrame, value: str, limits:
         cond = cond & (v >= lo) if lo is not None else cond
         cond = cond & (v < hi) if hi is not None else cond
         cells.append(F.sum(F.when(cond, F.col("_n")).otherwise(0)).alias(f"r{'' if lo is None else lo}<{'' if hi is None else hi}"))
-    rest = [F.sum("_n").alias("size"), F.round(F.sum(v * F.col("_n")) / F.sum("_n"), 2).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max")]
+    rest = [F.sum("_n").alias("size"), fixed(F.sum(v * F.col("_n")) / F.sum("_n"), 2).cast("double").alias("avg"), F.min(v).alias("min"), F.max(v).alias("max")]
     by, total = p.groupBy(F.col(f"b_{name}").alias(name)).agg(*cells, *rest), p.agg(F.lit("Total").alias(name), *cells, *rest)
     intervals = by.columns[1 : len(cells) + 1]
-    share = [F.round(F.lit(100.0) * model.col(c) / F.when(F.col("size") > 0, F.col("size")), 2).alias(c) for c in intervals]
+    share = [fixed(F.lit(100.0) * model.col(c) / F.when(F.col("size") > 0, F.col("size")), 2).cast("double").alias(c) for c in intervals]
     wide = lambda t: t.select(F.col(name).cast("string").alias(name), *[model.col(c).cast("double").alias(c) for c in intervals], F.col("size").cast("double").alias("size"), *["avg", "min", "max"])
     percent = total.select(F.lit("Totalpercent"), *share, F.lit(100.0), *[F.lit(None).cast(t) for _, t in total.dtypes[-3:]])
     return wide(by).union(wide(total)).union(percent)
