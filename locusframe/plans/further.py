@@ -212,7 +212,7 @@ def groupby_unsorted(t):
 
 
 _BINS = f"""SELECT b.pid, s.na AS v, least(s."end", b."end") - greatest(s.begin, b.begin) AS n FROM (SELECT * FROM ({_segments(A)}) WHERE na > 0) s JOIN ({B}) b ON s.chromosome = b.chromosome AND s.begin < b."end" AND b.begin < s."end\""""
-_CELLS = 'CAST(coalesce(sum(n) FILTER (v < 2), 0) AS DOUBLE) AS "r<2", CAST(coalesce(sum(n) FILTER (v >= 2 AND v < 4), 0) AS DOUBLE) AS "r2<4", CAST(coalesce(sum(n) FILTER (v >= 4), 0) AS DOUBLE) AS "r4<", CAST(sum(n) AS DOUBLE) AS size, CAST(printf('%.2f', CAST(sum(v * n) AS DOUBLE) / sum(n)) AS DOUBLE) AS avg, min(v) AS min, max(v) AS max'
+_CELLS = """CAST(coalesce(sum(n) FILTER (v < 2), 0) AS DOUBLE) AS "r<2", CAST(coalesce(sum(n) FILTER (v >= 2 AND v < 4), 0) AS DOUBLE) AS "r2<4", CAST(coalesce(sum(n) FILTER (v >= 4), 0) AS DOUBLE) AS "r4<", CAST(sum(n) AS DOUBLE) AS size, CAST(printf('%.2f', CAST(sum(v * n) AS DOUBLE) / sum(n)) AS DOUBLE) AS avg, min(v) AS min, max(v) AS max"""
 
 
 @query(f'WITH p AS ({_BINS}), total AS (SELECT \'Total\' AS pid, {_CELLS} FROM p) SELECT CAST(pid AS VARCHAR) AS pid, {_CELLS} FROM p GROUP BY pid UNION ALL SELECT * FROM total UNION ALL SELECT \'Totalpercent\', CAST(printf(\'%.2f\', 100.0 * "r<2" / size) AS DOUBLE), CAST(printf(\'%.2f\', 100.0 * "r2<4" / size) AS DOUBLE), CAST(printf(\'%.2f\', 100.0 * "r4<" / size) AS DOUBLE), 100.0, NULL, NULL, NULL FROM total')
