@@ -37,7 +37,7 @@ def _bins(begin: Column, end: Column, size: int, touch: bool = False) -> Column:
     return F.explode(F.sequence(F.floor(begin / size), F.floor(last / size)))
 
 
-# --- joins -------------------------------------------------------------------------------------------
+# --- joins ---
 
 
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", touch: bool = False, near: int = 0, bin_size: int = BIN, condition: Column | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def overlap_counts(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame
     return out.select(*[model.col(c) for c in x.columns], "count", "shared")
 
 
-# --- algebra -----------------------------------------------------------------------------------------
+# --- algebra ---
 
 
 def _events(df: DataFrame, name: str, size: int, by: list[str]) -> DataFrame:
