@@ -36,7 +36,7 @@ FLUSH = 300_000
 MEMORY = 400_000
 
 
-# --- counts ------------------------------------------------------------------------------------------
+# --- counts ---
 
 
 class Pretokens:
@@ -177,7 +177,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, he
     return done.drop("rare").join(late, "_k", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
-# --- encoding ----------------------------------------------------------------------------------------
+# --- encoding ---
 
 
 class RankQueue:

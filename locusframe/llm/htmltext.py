@@ -31,7 +31,7 @@ PAGES, EPOCHS = 900, 8
 #: Pages that are labelled together; the most blocks (padded) of such a group.
 GROUP, GROUP_BLOCKS = 256, 200_000
 
-# --- blocks ------------------------------------------------------------------------------------------
+# --- blocks ---
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,7 +200,7 @@ def _features(page: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return bits, rest
 
 
-# --- labeller ----------------------------------------------------------------------------------------
+# --- labeller ---
 
 Weights = dict[str, np.ndarray]
 
@@ -337,7 +337,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> Weights:
     return w
 
 
-# --- synthetic pages ---------------------------------------------------------------------------------
+# --- synthetic pages ---
 
 #: Begins the text of each main block of a synthetic page.
 MARK = "\x01"
@@ -463,7 +463,7 @@ def synthetic(n: int, seed: int) -> list[str]:
     return [_Writer(rng).page() for _ in range(n)]
 
 
-# --- query -------------------------------------------------------------------------------------------
+# --- query ---
 
 
 def extract(w: Weights, pages: list[str | None]) -> list[str]:
