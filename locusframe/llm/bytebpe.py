@@ -33,7 +33,7 @@ HEAD, LONG = 1 << 18, 64
 #: Different pre-tokens that a task counts before it hands them on.
 FLUSH = 300_000
 #: Pre-tokens of up to LONG bytes that the encoder of a task remembers; beyond, the memory begins anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 # --- counts ---
