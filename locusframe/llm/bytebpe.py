@@ -8,6 +8,10 @@ pre-tokens, most of a text, are joined in the task that reads it; only the other
 positions whose pair has that rank, a hierarchy of bitmaps (64 bits a word) over the buckets gives the least
 rank by three find-first-set steps, and entries whose pair has changed meanwhile are skipped when they come
 up. A pre-token of n bytes takes O(n log n) steps, as positions of a bucket are a heap.
+
+Short pre-tokens are merged many at a time by one queue (``merge_all``): no pair reaches across two of them, so the
+least rank of all is the least of each that has it. A bucket is taken as a whole, but of each pre-token its first
+position only, as a merge may make a pair of lesser rank there; the others go back.
 """
 
 import base64
@@ -34,6 +38,8 @@ HEAD, LONG = 1 << 18, 64
 FLUSH = 300_000
 #: Pre-tokens of up to LONG bytes that the encoder of a task remembers; beyond, the memory begins anew.
 MEMORY = 1_000_000
+#: Characters of the texts, and bytes of the pre-tokens, that the encoder takes at a time.
+GROUP, AT_ONCE = 4_000_000, 1 << 22
 
 
 # --- counts ---
@@ -197,6 +203,16 @@ class RankEncoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.known: dict[str, bytes] = {}
+        # ranks of pairs by both ids, sorted; none is the id of what is beyond a pre-token
+        self.none = max(ranks.values()) + 1
+        self.size = self.none + 1
+        get = ranks.get
+        made = [(a, b, r) for w, r in ranks.items() for i in range(1, len(w)) if (a := get(w[:i])) is not None and (b := get(w[i:])) is not None]
+        a, b, r = np.array([*made, (self.size, 0, -1)], np.int64).T  # the last is beyond all others
+        pairs = a * self.size + b
+        order = np.argsort(pairs)
+        self.pairs, self.rank_of = pairs[order], r[order]
+        self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> "RankEncoder":
@@ -276,20 +292,115 @@ class RankEncoder:
             i = after[i]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def _ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, -1: none."""
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.rank_of[at], -1)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each of many short pre-tokens."""
+        out = [b""] * len(pieces)
+        todo = []
+        for i, p in enumerate(pieces):
+            if (whole := self.ranks.get(p)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif p:
+                todo.append(i)
+        lengths = np.array([len(pieces[i]) for i in todo], np.int64)
+        chunk = np.cumsum(lengths) // AT_ONCE
+        for c in np.unique(chunk).tolist():
+            own = np.flatnonzero(chunk == c).tolist()
+            for i, ids in zip((todo[k] for k in own), self._merge_all([pieces[todo[k]] for k in own], lengths[own])):
+                out[i] = ids
+        return out
+
+    def _merge_all(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
+        low, mid, top = self.queue.low, self.queue.mid, 0
+        size, rank_of = self.size, self._ranks
+        ends = np.cumsum(lengths)
+        n = int(ends[-1])  # also the place beyond every pre-token
+        word = np.repeat(np.arange(len(pieces)), lengths)
+        ids = np.append(self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], self.none)
+        if (ids < 0).any():
+            raise ValueError("the vocabulary lacks a byte of the text")
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = before[ends - lengths] = n
+        rank_at = rank_of(ids * size + ids[np.minimum(after, n)])
+        live = np.ones(n, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        at, ranks = np.arange(n + 1), rank_at
+        while True:
+            if (ok := ranks >= 0).any():
+                at, ranks = at[ok], ranks[ok]
+                order = np.argsort(ranks, kind="stable")
+                at, ranks = at[order], ranks[order]
+                cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+                for r, s, e in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                    if r in buckets:
+                        buckets[r].append(at[s:e])
+                    else:
+                        buckets[r] = [at[s:e]]
+                        w = r >> 6
+                        if not low[w]:
+                            mid[w >> 6] |= 1 << (w & 63)
+                            top |= 1 << (w >> 6)
+                        low[w] |= 1 << (r & 63)
+            if not top:
+                break
+            t = (top & -top).bit_length() - 1  # find first set, three times
+            m = mid[t]
+            w = (t << 6) + (m & -m).bit_length() - 1
+            x = low[w]
+            rank = (w << 6) + (x & -x).bit_length() - 1
+            at = np.concatenate(buckets[rank])
+            at = at[rank_at[at] == rank]  # others are stale: one of the pair was merged since
+            at.sort()
+            first = np.ones(len(at), bool)
+            np.not_equal(word[at[1:]], word[at[:-1]], out=first[1:])
+            if first.all():
+                del buckets[rank]
+                low[w] = x = x & (x - 1)
+                if not x:
+                    mid[t] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            else:
+                buckets[rank] = [at[~first]]
+                at = at[first]
+            j = after[at]
+            k, h = after[j], before[at]
+            after[at], before[k], ids[at], rank_at[j], live[j] = k, at, rank, -1, False
+            # the pairs that begin here, and the ones before
+            at = np.concatenate((at, h))
+            ranks = rank_of(np.concatenate((rank * size + ids[k], ids[h] * size + rank)))
+            rank_at[at] = ranks
+        raw = ids[:n][live].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(np.bincount(word[live], minlength=len(pieces)))).tolist()]
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        group, n = [], 0
+        for t in texts:
+            group.append(t)
+            n += len(t)
+            if n > GROUP:
+                yield from self._group(group)
+                group, n = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        words = self.split(text)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            long = {}
-            for w in set(words):
-                if w not in known:
-                    (known if len(w) <= LONG else long)[w] = np.array(self.merge(w.encode()), "<u4").tobytes()
-            return b"".join([known[w] if w in known else long[w] for w in words] if long else map(known.__getitem__, words))
+        split = list(map(self.split, texts))
+        new = set().union(*split).difference(known)
+        long = {w: np.array(self.merge(w.encode()), "<u4").tobytes() for w in new if len(w) > LONG}
+        short = [w for w in new if len(w) <= LONG]
+        known.update(zip(short, self.merge_all([w.encode() for w in short])))
+        if long:
+            return [b"".join([long[w] if w in long else known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -301,8 +412,7 @@ def _map_encode(path: str, pattern: str):
         for b in batches:
             encoder = encoder or RankEncoder.from_file(path, pattern)
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1):
-                ids = encoder.encode(t.as_py() or "")
+            for ids in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(ids)).hexdigest())

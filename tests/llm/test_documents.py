@@ -59,6 +59,32 @@ def test_encoding(docs, rows):
     each(bytebpe.encoding_digest(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), rows, expected)
 
 
+def test_pre_tokens_merged_together_are_those_merged_alone(monkeypatch):
+    """Few letters give bytes that repeat, overlapping pairs, and merges that make a pair of lesser rank."""
+    rng = np.random.default_rng(5)
+    own = bytebpe.RankEncoder.from_file(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    letters = [b"a", b"e", b"n", b"t", b" ", "é".encode(), b"="]
+    odd = {bytes([i]): 300 + i for i in range(256)} | {b"ab": 9, b"abc": 3, b"cd": 8, b"abcd": 7, b"ca": 5, b"aa": 6, b"aaa": 2, b"bca": 1}
+    for encoder, some in ((own, letters), (bytebpe.RankEncoder(odd, P.PATTERN), [b"a", b"b", b"c", b"d"])):
+        pieces = [b"", b"a", *(b"".join(some[i] for i in rng.integers(0, len(some), n)) for n in rng.integers(1, 40, 3000))]
+        want = [np.array(encoder.merge(p), "<u4").tobytes() if p else b"" for p in pieces]
+        for at_once in (1 << 22, 500):
+            monkeypatch.setattr(bytebpe, "AT_ONCE", at_once)
+            assert encoder.merge_all(pieces) == want
+        assert not any(encoder.queue.low) and not any(encoder.queue.mid)
+    assert own.merge_all([]) == []
+
+
+def test_texts_are_encoded_in_groups_with_the_same_ids(monkeypatch):
+    own = bytebpe.RankEncoder.from_file(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["", "one two", "x" * 500 + " one", " ", "two ünë \n\n", "one two"]
+    want = [b"".join(np.array(own.merge(w.encode()), "<u4").tobytes() for w in own.split(t)) for t in texts]
+    for group, memory in ((4_000_000, 1000), (5, 2)):
+        monkeypatch.setattr(bytebpe, "GROUP", group)
+        monkeypatch.setattr(bytebpe, "MEMORY", memory)
+        assert list(own.encode(texts)) == want
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix(docs, rows, hot):
     raw = [(r[1] or "").encode() for r in rows]
