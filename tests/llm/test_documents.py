@@ -176,6 +176,21 @@ def test_packing(docs, rows):
     assert -(-total // cap) <= len(seqs) <= len(packing.best_fit(np.array([r["length"] for r in got]), cap))
 
 
+def test_words_merged_together_have_the_ids_of_the_library():
+    from locusframe.llm import wordbpe
+
+    rng = np.random.default_rng(6)
+    own = wordbpe.Encoder(P.path("word_bpe_49k.json"))
+    letters = list("aaaeinstthéß")
+    words = ["a", "'s", "7", "...", "aaaaaaaa", "ababab", *{"".join(letters[i] for i in rng.integers(0, len(letters), n)) for n in rng.integers(1, 30, 3000)}]
+    words = [w for w in words if wordbpe._WORDS.findall(w) == [w]]
+    assert len(words) > 1000 and own.merges.ids([]) == {}
+    got = own.merges.ids(words)
+    assert got == {w: np.array(own.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+    texts = [" ".join(words), "x" * 500 + " and " + "é" * 70, "", None, "Ünë <|endoftext|> two"]
+    assert own.encode(texts) == [np.array(own.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_local_search_raises_the_squared_fill_and_empties_sequences():
     lengths = np.array([60, 60, 60, 50, 50, 40, 40, 20, 20])
     worst = [[0], [1], [2], [3, 5], [4, 6], [7, 8]]
