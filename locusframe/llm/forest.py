@@ -185,21 +185,38 @@ def _map_route(forest: dict[int, list[Tree]], kind: str, spill: float):
     return run
 
 
-def first_meeting(short: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the rows i and j have none of their lesser places in common."""
-    width = max(map(len, short), default=0)
-    if not width:
-        return np.ones(len(i), bool)
-    table = np.full((len(short), width), -1, np.int64)
-    for k, p in enumerate(short):
-        table[k, : len(p)] = p
-    other = np.where(table < 0, -2, table)
-    ok = np.ones(len(i), bool)
-    for a in range(width):
-        mine = table[i, a]
-        for b in range(width):
-            ok &= mine != other[j, b]
-    return ok
+class Meetings:
+    """Which rows have lesser places in common: a bit for each place that several rows have. A pair costs a step for
+    64 such places, not one for each two of its own. Bits are kept for PLACES places at a time."""
+
+    PLACES = 1 << 13
+
+    def __init__(self, places: list[np.ndarray]):
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        flat = np.concatenate([*places, np.zeros(0, np.int64)])
+        _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+        several = often > 1
+        nth = np.cumsum(several) - 1
+        keep = several[at]
+        self.n, self.row, self.place = len(places), np.repeat(np.arange(len(places)), counts)[keep], nth[at][keep]
+        self.shared = int(several.sum())
+        self.kept = self._bits(0) if self.shared <= self.PLACES else None
+
+    def _bits(self, start: int) -> np.ndarray:
+        own = (self.place >= start) & (self.place < start + self.PLACES)
+        row, place = self.row[own], self.place[own] - start
+        bits = np.zeros((-(-min(self.PLACES, self.shared - start) // 64), self.n), np.uint64)
+        np.bitwise_or.at(bits, (place >> 6, row), np.uint64(1) << (place & 63).astype(np.uint64))
+        return bits
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows i and j have none of their lesser places in common."""
+        ok, left = np.zeros(len(i), bool), np.arange(len(i))
+        for start in range(0, self.shared, self.PLACES):
+            for word in self.kept if self.kept is not None else self._bits(start):
+                left = left[(word[i[left]] & word[j[left]]) == 0]
+        ok[left] = True
+        return ok
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -223,6 +240,7 @@ def compare(c: np.ndarray, w: np.ndarray, x: np.ndarray, side: np.ndarray, place
     left = np.flatnonzero(side == side.min())
     right = np.flatnonzero(side == side.max())
     ea, eb = [], []
+    meetings = None
     for k in range(0, len(left), 512):
         rows = left[k : k + 512]
         cols = right if two else right[k:]
@@ -233,7 +251,8 @@ def compare(c: np.ndarray, w: np.ndarray, x: np.ndarray, side: np.ndarray, place
             i, j = i[keep], j[keep]
         for s in range(0, len(i), 1 << 18):
             a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            ok = first_meeting(places, a, b)
+            meetings = meetings or Meetings(places)
+            ok = meetings.first(a, b)
             near += np.bincount(a[ok], w[b[ok]], len(c)).astype(np.int64) + np.bincount(b[ok], w[a[ok]], len(c)).astype(np.int64)
         if len(i):
             # edges so far, as a forest

@@ -57,6 +57,18 @@ def test_forest_finds_links_far_beyond_its_sample(spark):
     assert sum(got.values()) >= 0.98 * near.sum()
 
 
+def test_pairs_count_where_they_meet_first(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n, most in ((40, 300), (1, 5), (30, 3), (200, 70)):
+        places = [np.unique(rng.integers(0, most, rng.integers(0, 9))) for _ in range(n)]
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        i, j = i[i != j], j[i != j]
+        want = [not set(places[a]) & set(places[b]) for a, b in zip(i.tolist(), j.tolist())]
+        for many in (1 << 13, 64):
+            monkeypatch.setattr(forest.Meetings, "PLACES", many)
+            assert forest.Meetings(places).first(i, j).tolist() == want
+
+
 def test_forest_joins_hot_vectors_by_broadcast(spark):
     rows = [(i, [1.0, 2.0]) for i in range(50)] + [(100 + i, [float(i + 1), -1.0]) for i in range(3)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
