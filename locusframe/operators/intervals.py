@@ -45,7 +45,8 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", touch: bool = F
     only touch; near: with b widened by that much. how: inner, left_semi or left_anti (rows of a as they
     are), or each: all rows of a for each bin, with a_row (a number of the row) and b_row (null without a
     match), to be grouped by a_row. A row gets its number once, in one branch of the plan, so that it
-    doesn't matter whether the rows of a come in the same order when they are made again."""
+    doesn't matter whether the rows of a come in the same order when they are made again. Sides are merged, never
+    broadcast: Spark guesses their size by that of files, which may hold far less than rows made of them."""
     left = a.select(*[model.col(c).alias("a_" + c) for c in a.columns])
     if how != "inner":
         left = left.withColumn("a_row", F.monotonically_increasing_id())
@@ -53,7 +54,7 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", touch: bool = F
     ab, ae, bb, be = (F.col(c) for c in ("a_begin", "a_end", "b_begin", "b_end"))
     wide = touch or near > 0
     x = left.select("*", _bins(ab, ae, bin_size, wide).alias("_bin"))
-    y = right.select("*", _bins(bb - near, be + near, bin_size, wide).alias("_bin2"))
+    y = right.select("*", _bins(bb - near, be + near, bin_size, wide).alias("_bin2")).hint("merge")
     first = F.greatest(F.floor(ab / bin_size), F.floor((bb - near) / bin_size))
     meet = ((ab <= be + near) & (bb - near <= ae)) if wide else ((ab < be) & (bb < ae))
     cond = (F.col("a_chromosome") == F.col("b_chromosome")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_bin") == first) & meet
