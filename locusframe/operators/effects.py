@@ -85,16 +85,17 @@ def coding_sequences(genes: DataFrame, genome: DataFrame, chunk: int = 10_000) -
 def annotate_effects(a: DataFrame, genes: DataFrame, genome: DataFrame, upstream: int = 2000, splice: int = 8, essential: int = 2, chunk: int = 10_000, bin_size: int = BIN) -> DataFrame:
     """a (with ref and alt, an allele a row) with gene_impact, gene_gene and gene_descr as annotate_genes gives them, but
     for coding places the impact on the protein, and in the description the change of the coding sequence and of
-    the protein. A deletion of a whole transcript is a GENEDEL."""
+    the protein. A deletion of a whole transcript is a GENEDEL. Joins are merges, as Spark guesses too little for
+    transcripts and their sequences and would broadcast them."""
     hits = gene_hits(a, genes, upstream, splice, essential, bin_size)
     whole = (F.col("a_begin") <= F.col("_tb")) & (F.col("a_end") >= F.col("_te")) & (F.col("a_begin") < F.col("a_end"))
     extent = genes.select(F.col("name").alias("b_name"), F.col("begin").cast("long").alias("_tb"), F.col("end").cast("long").alias("_te")).groupBy("b_name").agg(F.min("_tb").alias("_tb"), F.max("_te").alias("_te"))
-    x = hits.join(extent, "b_name", "left")
+    x = hits.join(extent.hint("merge"), "b_name", "left")
     impact = F.when(whole, F.when(F.col("a_alt") == "", "GENEDEL").otherwise("GENECOMP")).otherwise(F.col("v.impact"))
     x = x.withColumn("v", F.struct(impact.alias("impact"), F.col("v.descr").alias("descr"))).drop("_tb", "_te")
     coding = F.coalesce(F.col("v.impact") == "CDS", F.lit(False))
     genes_at = coding_sequences(genes, genome, chunk).select(F.col("name").alias("b_name"), F.col("strand").alias("_strand"), F.col("parts").alias("_parts"), F.col("coding").alias("_coding"))
-    found = x.where(coding).select("a_row", "b_name", "a_begin", "a_end", "a_ref", "a_alt", "v").join(genes_at, "b_name")
+    found = x.where(coding).select("a_row", "b_name", "a_begin", "a_end", "a_ref", "a_alt", "v").join(genes_at.hint("merge"), "b_name")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in parts:
@@ -102,7 +103,7 @@ def annotate_effects(a: DataFrame, genes: DataFrame, genome: DataFrame, upstream
             yield pd.DataFrame({"a_row": t["a_row"], "b_name": t["b_name"], "_impact": [i for i, _ in rows], "_change": [d for _, d in rows]})
 
     effects = found.mapInPandas(run, "a_row long, b_name string, _impact string, _change string")
-    y = x.join(effects, ["a_row", "b_name"], "left")
+    y = x.join(effects.hint("merge"), ["a_row", "b_name"], "left")
     return listed_hits(a, y.withColumn("v", F.struct(F.coalesce("_impact", "v.impact").alias("impact"), F.concat_ws(":", "v.descr", "_change").alias("descr"))).drop("_impact", "_change"))
 
 

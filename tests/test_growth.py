@@ -11,3 +11,7 @@ def plan(df):
 
 def test_no_side_of_an_overlap_join_is_broadcast(spark):
     assert "Broadcast" not in plan(QUERIES["annotate_genes"](spark, SF))
+
+
+def test_coding_sequences_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(QUERIES["annotate_effects"](spark, SF))
