@@ -268,18 +268,18 @@ def tsv2fasta(df: DataFrame, name: str = "id", sequence: str = "sequence", width
 def fastq2tsv(spark: SparkSession, path: str) -> DataFrame:
     """name, sequence, quality. A record begins at a line with @ that a line with + follows two lines later;
     a quality line may begin with @ too, so records aren't cut at @ alone."""
-    x = spark.read.option("wholetext", False).option("lineSep", "\n@").text(path)
+    x = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("k"))
+    # a piece at the begin of a split belongs to the last one of the split before in its file, wherever that is read:
+    # a row for each split. Only the first piece of a file still has its @
+    ends = x.groupBy("_file", "_start").agg(F.min("k").alias("_first"), F.max("k").alias("_last"))
+    before = ends.select(F.col("_first").alias("k"), F.lag("_last").over(Window.partitionBy("_file").orderBy("_start")).alias("_before"), (F.col("_start") == 0).alias("_top"))
+    at = x.join(F.broadcast(before), "k", "left")
+    lines = F.split(F.when(F.col("_top"), F.regexp_replace("value", "^@", "")).otherwise(F.col("value")), "\n")
     # what looks like a begin inside a record: a quality line that begins with @ leaves a piece without +
-    piece = F.regexp_replace("value", "^@", "")
-    lines = F.split(piece, "\n")
     whole = (F.size(lines) >= 4) & F.get(lines, F.lit(2)).startswith("+") & (F.length(F.get(lines, F.lit(1))) == F.length(F.get(lines, F.lit(3))))
     cut = (F.size(lines) == 3) & F.get(lines, F.lit(2)).startswith("+")
-    num = x.select(lines.alias("l"), whole.alias("whole"), cut.alias("cut"), F.monotonically_increasing_id().alias("k"))
-    # a piece at the begin of a partition belongs to the last one of the partition before: a row for each partition
-    ends = num.groupBy(F.shiftright("k", 33).alias("_p")).agg(F.min("k").alias("_first"), F.max("k").alias("_last"))
-    before = ends.select(F.col("_first").alias("k"), F.lag("_last").over(Window.orderBy("_p")).alias("_before"))
-    rest = num.where("not whole and not cut").join(F.broadcast(before), "k", "left")
-    nxt = rest.select(F.coalesce("_before", F.col("k") - 1).alias("k"), F.get("l", F.lit(0)).alias("q"))
+    num = at.select(lines.alias("l"), whole.alias("whole"), cut.alias("cut"), "k", "_before")
+    nxt = num.where("not whole and not cut").select(F.coalesce("_before", F.col("k") - 1).alias("k"), F.get("l", F.lit(0)).alias("q"))
     pieces = num.where("whole or cut").join(nxt, "k", "left")
     quality = F.when(F.col("whole"), F.get("l", F.lit(3))).otherwise(F.concat(F.lit("@"), F.coalesce("q", F.lit(""))))
     return pieces.select(F.get("l", F.lit(0)).alias("name"), F.get("l", F.lit(1)).alias("sequence"), quality.alias("quality"))

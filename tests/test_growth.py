@@ -1,7 +1,10 @@
 """Plans whose memory doesn't grow with the tables: what is broadcast, gathered or kept, and where files are cut."""
 
+import random
+
 from locusframe.plans import exchange, further, genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES
+from locusframe.sources import formats
 from oracle import SF
 
 
@@ -15,3 +18,21 @@ def test_no_side_of_an_overlap_join_is_broadcast(spark):
 
 def test_coding_sequences_are_not_broadcast(spark):
     assert "Broadcast" not in plan(QUERIES["annotate_effects"](spark, SF))
+
+
+def test_fastq_over_many_splits(spark, tmp_path):
+    """Qualities of @ and +, in files of several splits that aren't read in the order of their places."""
+    rng = random.Random(1)
+    size = [rng.randint(3, 30) for _ in range(300)]
+    rows = [(f"p{i}", "".join(rng.choice("ACGT") for _ in range(n)), "@" + "".join(rng.choice("FI#5@+") for _ in range(n - 1))) for i, n in enumerate(size)]
+    for name, part in (("a", rows[:7]), ("b", rows[7:180]), ("c", rows[180:])):
+        (tmp_path / f"{name}.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in part))
+    conf = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, formats.fastq2tsv(spark, str(tmp_path)).collect())) == sorted(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
