@@ -2,8 +2,8 @@
 
 Joins: both sides get a row for each bin of ``bin_size`` positions they touch and are equi-joined on
 chromosome and bin; a pair counts in the bin where the later of the two begins, so no pair has to be made
-distinct. Algebra: intervals are cut at the bins, begins and ends become events, events are added up per
-position before they are shuffled, and running sums in a window per chromosome and bin give the segments.
+distinct. Algebra: intervals are cut at the bins, begins and ends become events, and running sums in a window
+per chromosome and bin give the segments.
 Segments that a bin edge has cut are stitched, which concerns two rows of a bin at most. So no step has to
 take a whole chromosome in one task.
 """
@@ -139,38 +139,38 @@ def segments(sets: dict[str, DataFrame], size: int = BIN, by: list[str] | None =
     for name, df in sets.items():
         e = _events(df, f"n_{name}", size, by)
         parts.append(e.select("chromosome", *by, "_bin", "pos", *[(F.col(f"n_{s}") if s == name else F.lit(0)).alias(f"n_{s}") for s in sets], "edge"))
-    events = reduce(DataFrame.union, parts).groupBy("chromosome", *by, "_bin", "pos").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in sets], F.max("edge").alias("edge"))
+    # the events of a bin are sorted, not gathered in a table of positions: sorting spills, and there is one shuffle.
+    # Of several at a position the last has the sum of all; the others are as long as nothing
+    events = reduce(DataFrame.union, parts)
     w = Window.partitionBy("chromosome", *by, "_bin").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("chromosome", *by, "_bin", F.col("pos").alias("begin"), F.lead("pos").over(w).alias("end"), *[F.sum(f"n_{s}").over(upto).alias(f"n_{s}") for s in sets], "edge").where("end is not null")
+    edge = F.max("edge").over(w.rangeBetween(0, 0))
+    return events.select("chromosome", *by, "_bin", F.col("pos").alias("begin"), F.lead("pos").over(w).alias("end"), *[F.sum(f"n_{s}").over(upto).alias(f"n_{s}") for s in sets], edge.alias("edge")).where("begin < end")
 
 
 def _merge(pieces: DataFrame, size: int, values: list[str], edges: bool, by: list[str] | None = None) -> DataFrame:
     """Touching pieces of equal values as one, in bins and then across them; with edges not where a region
     begins or ends."""
     by = by or []
-    w = Window.partitionBy("chromosome", *by, "_bin").orderBy("begin")
-    differs = F.coalesce(F.lag("end").over(w) != F.col("begin"), F.lit(True))
-    for v in values:
-        differs = differs | ~F.lag(v).over(w).eqNullSafe(F.col(v))
-    if edges:
-        differs = differs | (F.col("edge") == 1)
-    marked = pieces.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the first of a run tells whether a true edge is there
-    runs = marked.groupBy("chromosome", *by, "_bin", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("edge", "begin").alias("edge"))
+
+    def joined(x: DataFrame, part: str, alone: Column) -> DataFrame:
+        """A row for each run; its first tells whether a true edge is there. Rows stay where they are sorted."""
+        w = Window.partitionBy("chromosome", *by, part).orderBy("begin")
+        first = alone | F.coalesce(F.lag("end").over(w) != F.col("begin"), F.lit(True))
+        for v in values:
+            first = first | ~F.lag(v).over(w).eqNullSafe(F.col(v))
+        if edges:
+            first = first | (F.col("edge") == 1)
+        x = x.withColumn("_first", first)
+        x = x.withColumn("_last", F.lead("_first", 1, True).over(w)).where("_first or _last")
+        return x.withColumn("end", F.when(F.col("_last"), F.col("end")).otherwise(F.lead("end").over(w))).where("_first").drop("_first", "_last")
+
+    runs = joined(pieces.select("chromosome", *by, "_bin", "begin", "end", "edge", *values), "_bin", F.lit(False))
     lo, hi = F.col("_bin") * size, (F.col("_bin") + 1) * size
     at_edge = (F.col("begin") == lo) | (F.col("end") == hi)
     # what a bin edge has cut, two rows of a bin at most, is in one window; the rest stays by bin and as it is
-    runs = runs.withColumn("_cut", at_edge).withColumn("_group", F.when(~at_edge, F.col("_bin")))
-    w2 = Window.partitionBy("chromosome", *by, "_group").orderBy("begin")
-    differs = ~F.col("_cut") | F.coalesce(F.lag("end").over(w2) != F.col("begin"), F.lit(True))
-    for v in values:
-        differs = differs | ~F.lag(v).over(w2).eqNullSafe(F.col(v))
-    if edges:
-        differs = differs | (F.col("edge") == 1)
-    marked = runs.withColumn("_new", differs.cast("int")).withColumn("_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = marked.groupBy("chromosome", *by, "_group", "_run", *values).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return stitched.select("chromosome", *by, "begin", "end", *values)
+    runs = runs.withColumn("_group", F.when(~at_edge, F.col("_bin")))
+    return joined(runs, "_group", F.col("_group").isNotNull()).select("chromosome", *by, "begin", "end", *values)
 
 
 def _sweep(sets: dict[str, DataFrame], keep: Callable[..., Column], size: int, edges: bool) -> DataFrame:

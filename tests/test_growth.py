@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+from locusframe.operators import intervals
 from locusframe.plans import exchange, further, genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES
 from locusframe.sources import formats
@@ -36,3 +38,22 @@ def test_fastq_over_many_splits(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_sweeps_sort_and_keep_no_table_of_positions(spark):
+    for name in ("multireg", "depth"):
+        assert "HashAggregate(keys=[chromosome" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("size", [1, 4, 7, 1000])
+def test_segments_of_events_at_one_position(spark, size):
+    rng = random.Random(size)
+    rows = [("1", b, b + rng.choice([0, 1, 4, 4, 8, 30])) for b in (4 * rng.randint(0, 12) for _ in range(60))]
+    df = spark.createDataFrame(rows, "chromosome string, begin long, end long").repartition(5)
+    got = sorted((r["begin"], r["end"], r["depth"]) for r in intervals.depth(df, size).collect())
+    at = [sum(b <= p < e for _, b, e in rows) for p in range(100)]
+    cuts = [p for p in range(1, 100) if at[p] != at[p - 1]]
+    assert got == [(b, e, at[b]) for b, e in zip([0, *cuts], [*cuts, 100]) if at[b]]
+    flags = sorted((r["begin"], r["end"]) for r in intervals.multireg({"a": df}, size).collect())
+    edges = sorted({p for _, b, e in rows if b < e for p in (b, e)})
+    assert flags == [(b, e) for b, e in zip(edges, edges[1:]) if at[b]]
