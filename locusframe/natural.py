@@ -12,15 +12,23 @@ _number = re.compile(NUMBER)
 _WIDTH = 20
 
 
-def nat_key(col: Column | str) -> Column:
-    """A sortable struct, built of native expressions. Null sorts as null does."""
+def nat_columns(col: Column | str) -> list[Column]:
+    """Columns that sort as natural order does, the first by number: texts are after all numbers. Null sorts as null
+    does. A sort has to be by columns that are there already (`select.ordered`), as it makes expressions again for
+    each comparison."""
     x = (F.col(col) if isinstance(col, str) else col).cast("string")
     number = F.when(x.rlike(NUMBER), x.cast("double"))
     pieces = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(1))
     padded = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d+$") & (F.length(p) < _WIDTH), F.lpad(p, _WIDTH, "0")).otherwise(p)), "")
     padded = F.translate(padded, "*", "\U0010ffff")
-    text = number.isNull().cast("int")
-    return F.when(x.isNotNull(), F.struct(text.alias("text"), F.coalesce(number, F.lit(0.0)).alias("number"), F.when(text == 1, padded).otherwise("").alias("padded"), x.alias("raw")))
+    return [F.coalesce(number, F.when(x.isNotNull(), float("inf"))), number.isNull().cast("int"), F.when(number.isNull(), padded).otherwise(""), x]
+
+
+def nat_key(col: Column | str) -> Column:
+    """The same as one struct."""
+    x = (F.col(col) if isinstance(col, str) else col).cast("string")
+    number, text, padded, raw = nat_columns(x)
+    return F.when(x.isNotNull(), F.struct(text.alias("text"), number.alias("number"), padded.alias("padded"), raw.alias("raw")))
 
 
 def nat_sort_key(x: str) -> tuple:
@@ -38,5 +46,6 @@ def nat_sort(array: Column) -> Column:
 
 def chr_clip(col: Column | str) -> Column:
     """A chromosome name without its chr prefix; MT is M."""
-    x = F.regexp_replace((F.col(col) if isinstance(col, str) else col).cast("string"), r"^[Cc][Hh][Rr]-?", "")
+    x = (F.col(col) if isinstance(col, str) else col).cast("string")
+    x = F.when(F.lower(F.substring(x, 1, 3)) == "chr", F.regexp_replace(x, r"^[Cc][Hh][Rr]-?", "")).otherwise(x)
     return F.when(x == "MT", F.lit("M")).otherwise(x)

@@ -19,8 +19,8 @@ from ..functions.compiler import Compiler, output
 from ..functions.library import glob
 from ..functions.parser import parse
 from ..functions.values import fixed, number, of_type, text
-from ..natural import nat_key, nat_sort, nat_sort_key
-from .select import _calculated, filter_rows, split_fields, with_row
+from ..natural import nat_sort, nat_sort_key
+from .select import _calculated, filter_rows, ordered, split_fields, with_row
 
 #: More pivot columns than this are refused: the table would be wider than Spark plans well.
 MAX_PIVOT = 5000
@@ -111,7 +111,7 @@ def group(df: DataFrame, by: str | Iterable[str], columns: str | Iterable[str] |
         from .select import sort
 
         return sort(out, sort_by, reverse)
-    return out.orderBy(*[nat_key(model.col(n)) for n in names])
+    return ordered(out, [(model.col(n), True, False) for n in names])
 
 
 def _keys(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:

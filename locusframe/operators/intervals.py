@@ -22,6 +22,8 @@ from ..natural import chr_clip
 BIN = 1 << 16
 #: Bins that a row of a join takes at most before larger bins are better; a hint for callers.
 KEYS = ("chromosome", "begin", "end")
+#: Rows of a window in which rows are compared with the one before.
+CHECK_CHUNK = 1 << 17
 
 
 def regions(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -294,12 +296,16 @@ def depth_histogram(a: DataFrame, target: DataFrame, most: int = 1000, size: int
 
 
 def check_sort(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows that come before their predecessor in natural order of place; order gives the order of the file."""
-    from ..natural import nat_key
+    """Rows that come before their predecessor in natural order of place; order gives the order of the file. Rows meet
+    the one before in a window over CHECK_CHUNK of them; only the last of each meets the next chunk."""
+    from ..natural import nat_columns
     from .select import with_row
 
-    x = with_row(df, order, "_at")
     roles = model.resolve_roles(df.columns, KEYS)
-    key = F.struct(nat_key(chr_clip(model.col(roles["chromosome"]))), model.col(roles["begin"]).cast("long"), model.col(roles["end"]).cast("long"))
-    a = x.select((F.col("_at") + 1).alias("_at"), key.alias("_before"))
-    return x.join(a, "_at").where(key < F.col("_before")).drop("_at", "_before")
+    x = with_row(df, order, "_at").withColumn("_chr", chr_clip(model.col(roles["chromosome"]))).withColumn("_chunk", F.floor(F.col("_at") / CHECK_CHUNK))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*nat_columns("_chr"), model.col(roles["begin"]).cast("long"), model.col(roles["end"]).cast("long")])])
+    lasts = x.where((F.col("_at") + 1) % CHECK_CHUNK == 0).select((F.col("_chunk") + 1).alias("_chunk"), key.alias("_last"))
+    w = Window.partitionBy("_chunk").orderBy("_at")
+    x = x.withColumn("_key", key).withColumn("_before", F.lag("_key").over(w)).join(F.broadcast(lasts), "_chunk", "left")
+    x = x.withColumn("_before", F.coalesce("_before", F.when(F.col("_at") % CHECK_CHUNK == 0, F.col("_last"))))
+    return x.where(F.col("_key") < F.col("_before")).select(*[model.col(c) for c in df.columns])

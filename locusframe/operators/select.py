@@ -16,7 +16,7 @@ from .. import model
 from ..functions.compiler import Compiler, output
 from ..functions.parser import parse
 from ..functions.values import Value, number, of_type, text, truth
-from ..natural import chr_clip, nat_key
+from ..natural import chr_clip, nat_columns
 from ..shared import checkpointed
 
 
@@ -148,8 +148,9 @@ def _equality_key(v: Value) -> Column:
     return F.coalesce(number(v).cast("double").cast("string"), F.concat(F.lit("t"), text(v)))
 
 
-def sort_columns(df: DataFrame, keys: str | Iterable[str], reverse: bool = False) -> list[Column]:
-    """Natural order: -f falling, =f as chromosomes, ~f both; - alone is the order of the roles."""
+def sort_keys(df: DataFrame, keys: str | Iterable[str], reverse: bool = False) -> list[tuple[Column, bool, bool]]:
+    """Each key as ordered takes it. Natural order: -f falling, =f as chromosomes, ~f both; - alone is the order of the
+    roles."""
     names = split_fields(keys)
     if names == ["-"]:
         roles = model.resolve_roles(df.columns)
@@ -158,18 +159,23 @@ def sort_columns(df: DataFrame, keys: str | Iterable[str], reverse: bool = False
     out = []
     for n in names:
         mark, name = (n[0], n[1:]) if n[0] in "-=~" and n not in df.columns else ("", n)
-        if mark not in ("=", "~") and of_type(model.col(name), df.schema[name].dataType).kind == "num":
-            key = model.col(name)
-        else:
-            c = model.col(name)
-            key = nat_key(chr_clip(c)) if mark in ("=", "~") else nat_key(c)
-        down = (mark in ("-", "~")) != reverse
-        out.append(key.desc() if down else key.asc())
+        c = model.col(name)
+        natural = mark in ("=", "~") or of_type(c, df.schema[name].dataType).kind != "num"
+        out.append((chr_clip(c) if mark in ("=", "~") else c, natural, (mark in ("-", "~")) != reverse))
     return out
 
 
+def ordered(df: DataFrame, keys: list[tuple[Column, bool, bool]]) -> DataFrame:
+    """df sorted by keys: a column, whether its order is natural, and whether it falls. Keys are columns while it is
+    sorted: as expressions of the sort they would be made again for both rows of every comparison."""
+    x = df.withColumns({f"_s{i}": c.cast("string") if natural else c for i, (c, natural, _) in enumerate(keys)})
+    parts = {f"_s{i}": [f"_s{i}_{j}" for j in range(3)] * natural + [f"_s{i}"] for i, (_, natural, _) in enumerate(keys)}
+    x = x.withColumns({n: c for k, names in parts.items() for n, c in zip(names[:-1], nat_columns(k))})
+    return x.orderBy(*[F.col(n).desc() if down else F.col(n).asc() for names, (*_, down) in zip(parts.values(), keys) for n in names]).drop(*[n for names in parts.values() for n in names])
+
+
 def sort(df: DataFrame, keys: str | Iterable[str] = "-", reverse: bool = False) -> DataFrame:
-    return df.orderBy(*sort_columns(df, keys, reverse))
+    return ordered(df, sort_keys(df, keys, reverse))
 
 
 def select(

@@ -59,10 +59,10 @@ def split_by(df: DataFrame, field: str, path: str, how: str = "parquet") -> None
 
 def merge_sorted(tables: list[DataFrame], order: list[str]) -> DataFrame:
     """All rows of tables of the same columns in the natural order of these columns."""
-    from .select import sort_columns
+    from .select import sort
 
     out = reduce(DataFrame.unionByName, tables)
-    return out.orderBy(*sort_columns(out, order))
+    return sort(out, order)
 
 
 def distribute(df: DataFrame, parts: int | None = None, column: str = "_region", size: int = 50_000_000) -> DataFrame:

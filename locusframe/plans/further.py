@@ -14,7 +14,7 @@ from ..functions.values import Value, number
 from ..operators import analytics, cells, intervals, reshape, setops, transcripts, variants
 from ..operators import group as g
 from ..operators.joins import join_many
-from ..operators.select import add_sampleinfo, number_partitions, project_samples, select, sort
+from ..operators.select import add_sampleinfo, number_partitions, ordered, project_samples, select, sort
 from ..shared import shared_dir
 from ..sources import bcol
 from .exchange import _BLOCKS, _COUNTS, _GENES, GENOME, chain_lines, counts, genes, genome
@@ -155,9 +155,9 @@ def bsort(t):
 @query("SELECT qname, row_number() OVER (ORDER BY c, b, qname) - 1 AS r FROM (SELECT 'r' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(l_quantity AS BIGINT) AS qname, l_suppkey % 22 + 1 AS c, l_partkey AS b FROM lineitem)")
 def bam_sort(t):
     x = t("lineitem").selectExpr("'r' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || cast(l_quantity as bigint) as qname", "'chr' || (l_suppkey % 22 + 1) as chromosome", "l_partkey as begin").withColumn("_q", F.col("qname"))
-    from ..natural import chr_clip, nat_key
+    from ..natural import chr_clip
 
-    return number_partitions(x.orderBy(nat_key(chr_clip("chromosome")), "begin", "_q"), "r").select("qname", "r")
+    return number_partitions(ordered(x, [(chr_clip("chromosome"), True, False), (F.col("begin"), False, False), (F.col("_q"), False, False)]), "r").select("qname", "r")
 
 
 @query(f"SELECT name, row_number() OVER (ORDER BY {PAD.format('name')}) - 1 AS r FROM (SELECT 'p' || (start // 20) AS name FROM ({GENOME}))")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..natural import chr_clip, nat_key, nat_sort_key
+from ..natural import chr_clip, nat_sort_key
+from ..operators.select import ordered
 from .tsv import find_header, head_lines, lines
 
 _RENAME = {"DP": "coverage", "GQ": "genoqual", "AD": "alleledepth", "PS": "phaseset"}
@@ -42,7 +43,8 @@ def sort_vcf(rows: DataFrame) -> DataFrame:
     """Lines (_row, value) with the rows in natural order of chromosome and position; the header as it is."""
     p = F.split("value", "\t")
     row = F.col("_row") == 1
-    return rows.orderBy("_row", F.when(row, nat_key(chr_clip(F.get(p, F.lit(0))))), F.when(row, F.get(p, F.lit(1)).cast("long")), F.when(row, F.col("value")))
+    place = (chr_clip(F.get(p, F.lit(0))), True), (F.get(p, F.lit(1)).cast("long"), False), (F.col("value"), False)
+    return ordered(rows, [(F.col("_row"), False, False), *[(F.when(row, c), natural, False) for c, natural in place]])
 
 
 _GENEPRED = ["name", "chromosome", "strand", "begin", "end", "cdsStart", "cdsEnd", "exonCount", "exonStarts", "exonEnds", "score", "name2", "cdsStartStat", "cdsEndStat", "exonFrames"]

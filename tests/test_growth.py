@@ -4,6 +4,7 @@ import random
 
 import pytest
 from locusframe.operators import intervals
+from locusframe.operators.select import sort
 from locusframe.plans import exchange, further, genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES
 from locusframe.sources import formats
@@ -57,3 +58,23 @@ def test_segments_of_events_at_one_position(spark, size):
     flags = sorted((r["begin"], r["end"]) for r in intervals.multireg({"a": df}, size).collect())
     edges = sorted({p for _, b, e in rows if b < e for p in (b, e)})
     assert flags == [(b, e) for b, e in zip(edges, edges[1:]) if at[b]]
+
+
+def test_sort_keys_are_made_once(spark):
+    """A sort makes expressions in its order again for each comparison."""
+    df = spark.createDataFrame([("chr10", 1), ("2", 5), ("chrX", 0), (None, 2), ("chr2", 3), ("x*", 1)], "chromosome string, begin long")
+    for keys in ("=chromosome begin", "~chromosome", "chromosome"):
+        lines = [x for x in plan(sort(df, keys)).split("Physical Plan")[-1].splitlines() if "Sort [" in x or "rangepartitioning" in x]
+        assert lines and not any("regexp" in x or "RLIKE" in x for x in lines)
+    assert [tuple(r) for r in sort(df, "=chromosome begin").collect()] == [(None, 2), ("chr2", 3), ("2", 5), ("chr10", 1), ("chrX", 0), ("x*", 1)]
+    assert [r[0] for r in sort(df, "-chromosome").collect()] == ["x*", "chrX", "chr10", "chr2", "2", None]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_check_sort_across_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(intervals, "CHECK_CHUNK", chunk, raising=False)
+    rng = random.Random(chunk)
+    rows = [(i, rng.choice(["chr1", "2", "chr10", "X"]), b, b + rng.randint(0, 2)) for i, b in ((i, rng.randint(0, 5)) for i in range(60))]
+    got = sorted(r["i"] for r in intervals.check_sort(spark.createDataFrame(rows, "i long, chromosome string, begin long, end long").repartition(4), ["i"]).collect())
+    key = lambda r: (["1", "2", "10", "X"].index(r[1].removeprefix("chr")), r[2], r[3])
+    assert got == [b[0] for a, b in zip(rows, rows[1:]) if key(b) < key(a)]
