@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..natural import chr_clip, nat_key, nat_sort
 from .parser import ExpressionError
-from .values import Value, constant, deviation, equal, fixed, integer, is_integer, is_number, items, mean, middle, modes, number, numbers, quartile, same_length, text, total, truth
+from .values import Value, bound, constant, deviation, equal, fixed, integer, is_integer, is_number, items, mean, middle, modes, number, numbers, quartile, same_length, text, total, truth
 
 Function = Callable[[list[Value]], Value]
 FUNCTIONS: dict[str, Function] = {}
@@ -43,23 +43,23 @@ VECTOR = {"@" + op: op for op in (*_ELEMENT, "==", "!=", "&&", "||")} | {"vand":
 
 def _shown(x: Column) -> Column:
     """A number as text, whole ones without a fraction; NaN for none."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.coalesce(F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string")), F.lit("NaN"))
+    whole = lambda v: (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.coalesce(bound(x, lambda v: F.when(whole(v), v.cast("long").cast("string")).otherwise(v.cast("string"))), F.lit("NaN"))
 
 
 def vector_operator(op: str, a: Value, b: Value) -> Value:
     op = VECTOR[op]
-    x, y = same_length(items(a), items(b))
     num = lambda v: F.when(is_number(v), v.cast("double"))
     if op in ("==", "!="):
-        one = lambda p, q: equal(Value(p, "text"), Value(q, "text"))
-        got = F.zip_with(x, y, lambda p, q: (one(p, q) if op == "==" else ~one(p, q)).cast("int").cast("string"))
+        same = lambda p, q: equal(Value(p, "text"), Value(q, "text"))
+        one = lambda p, q: (same(p, q) if op == "==" else ~same(p, q)).cast("int").cast("string")
     elif op in ("&&", "||"):
         yes = lambda v: F.coalesce(num(v) != 0, F.lit(False))
-        got = F.zip_with(x, y, lambda p, q: ((yes(p) & yes(q)) if op == "&&" else (yes(p) | yes(q))).cast("int").cast("string"))
+        one = lambda p, q: ((yes(p) & yes(q)) if op == "&&" else (yes(p) | yes(q))).cast("int").cast("string")
     else:
-        got = F.zip_with(x, y, lambda p, q: _shown(_ELEMENT[op](num(p), num(q))))
-    return Value(got, "list")
+        one = lambda p, q: _shown(_ELEMENT[op](num(p), num(q)))
+    pair = F.struct(items(a).alias("a"), items(b).alias("b"))
+    return Value(bound(pair, lambda s: F.zip_with(*same_length(s["a"], s["b"]), one)), "list")
 
 
 def function(*names: str) -> Callable[[Function], Function]:
@@ -170,16 +170,23 @@ def choose(pairs: list[tuple[Value, Value]], other: Value) -> Value:
 
 def lift(f: Function, args: list[Value]) -> Value:
     """f applied by position; vectors of one element are repeated."""
-    vectors = list(map(items, args))
-    n = F.array_max(F.array(*map(F.size, vectors)))
-    sized = [F.when(F.size(v) == 1, F.array_repeat(F.get(v, F.lit(0)), n)).when(F.size(v) == n, v).otherwise(F.raise_error(F.lit("vectors of different length")).cast("array<string>")) for v in vectors]
+    each = F.struct(*[c.alias(f"v{i}") for i, c in enumerate(map(items, args))])
+
+    def sized(s: Column, n: Column) -> Column:
+        bad = F.raise_error(F.lit("vectors of different length")).cast("array<string>")
+        vectors = [s[f"v{i}"] for i in range(len(args))]
+        return F.struct(n.alias("n"), *[F.when(F.size(v) == 1, F.array_repeat(F.get(v, F.lit(0)), n)).when(F.size(v) == n, v).otherwise(bad).alias(f"v{i}") for i, v in enumerate(vectors)])
 
     def one(row: Column) -> Column:
         got = f([Value(row[f"v{i}"], "text", a.literal if isinstance(a.literal, str) else None) for i, a in enumerate(args)])
         return _shown(got.col) if got.kind == "num" else F.coalesce(text(got), F.lit("NaN"))
 
-    named = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[F.get(s, i).alias(f"v{k}") for k, s in enumerate(sized)]))
-    return Value(F.when(n > 0, F.transform(named, one)).otherwise(F.array().cast("array<string>")), "list")
+    def all_of(s: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.struct(*[F.get(s[f"v{k}"], i).alias(f"v{k}") for k in range(len(args))]))
+        return F.when(s["n"] > 0, F.transform(rows, one)).otherwise(F.array().cast("array<string>"))
+
+    longest = lambda s: F.array_max(F.array(*[F.size(s[f"v{i}"]) for i in range(len(args))]))
+    return Value(bound(each, lambda s: bound(F.when(longest(s) > 0, sized(s, longest(s))), all_of)), "list")
 
 
 def aggregate(how: str, array: Column) -> Value:

@@ -6,6 +6,7 @@ without a test; only text fields are tested row by row. NaN is null inside: comp
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -90,7 +91,13 @@ def items(v: Value) -> Column:
         return v.col
     if v.kind in ("num", "bool"):
         return F.array(text(v))
-    return F.when(v.col == "", F.array().cast("array<string>")).otherwise(F.split(v.col, SEPARATORS))
+    # one separator of one character: a pattern would be compiled again for each row
+    return F.when(v.col == "", F.array().cast("array<string>")).otherwise(F.split(F.translate(v.col, SEPARATORS[1:-1], "," * len(SEPARATORS[1:-1])), ","))
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x made once wherever f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def truth(v: Value) -> Column:

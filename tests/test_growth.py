@@ -3,8 +3,8 @@
 import random
 
 import pytest
-from locusframe.operators import intervals
-from locusframe.operators.select import sort
+from locusframe.operators import intervals, variants
+from locusframe.operators.select import select, sort
 from locusframe.plans import exchange, further, genomic, relational  # noqa: F401
 from locusframe.plans.registry import QUERIES
 from locusframe.sources import formats
@@ -78,3 +78,34 @@ def test_check_sort_across_chunks(spark, monkeypatch, chunk):
     got = sorted(r["i"] for r in intervals.check_sort(spark.createDataFrame(rows, "i long, chromosome string, begin long, end long").repartition(4), ["i"]).collect())
     key = lambda r: (["1", "2", "10", "X"].index(r[1].removeprefix("chr")), r[2], r[3])
     assert got == [b[0] for a, b in zip(rows, rows[1:]) if key(b) < key(a)]
+
+
+def test_elements_of_vectors_are_made_once(spark):
+    df = spark.createDataFrame([("1,2;x",), ("",), ("3",)], "v string")
+    x = select(df, "s=$v@*$v p=$v@+1 c=vconcat($v)")
+    optimized = plan(x).split("Optimized Logical Plan")[-1].split("Physical Plan")[0]
+    assert optimized.count("split(") <= 6 and optimized.count("RLIKE") <= 8
+    assert [tuple(r) for r in x.collect()] == [("1,4,NaN", "2,3,NaN", "1,2,x"), ("", "", ""), ("9", "4", "3")]
+
+
+def test_clusters_are_scanned_in_batches(spark):
+    assert "FlatMapGroups" not in plan(QUERIES["clusterregions"](spark, SF))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(5)
+        rows = [(rng.choice("12"), b, b + 1) for b in (rng.choice([0, 3000]) + rng.randint(0, 400) for _ in range(120))]
+        got = sorted(map(tuple, variants.cluster_regions(spark.createDataFrame(rows, "chromosome string, begin long, end long"), distance=4, least=3, stop=50).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for c in "12":
+        first, score, n, last = None, 0, 0, None
+        for _, b, e in [*sorted(r for r in rows if r[0] == c), (c, 10**9, 0)]:
+            cut = last is not None and b - last > 50
+            score = 0 if first is None or cut else score + (1 if b - last <= 4 else -1)
+            if cut or first is None or score < 0:
+                if first is not None and n > 3:
+                    want.append((c, first, last, n))
+                first, n, score = b, 0, 0
+            n, last = n + 1, e
+    assert got == sorted(want) and got
