@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -330,24 +331,28 @@ def exportplink(df: DataFrame, numeric: bool = False) -> DataFrame:
 def cluster_regions(df: DataFrame, match: int = 1, mismatch: int = -1, distance: int = 100, least: int = 20, stop: int = 5000) -> DataFrame:
     """Stretches of many variants close to each other: a running score rises where the next variant is within
     distance and falls where it isn't; a stretch ends at a gap beyond stop or when the score falls to zero,
-    and counts with more than least variants. Gaps beyond stop cut the table natively, so only what is
-    between two of them is scanned by one call."""
-    x = regions(df, [])
-    w = Window.partitionBy("chromosome").orderBy("begin", "end")
-    gap = F.col("begin") - F.lag("end").over(w)
-    x = x.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_cut", (F.col("_gap") > stop).cast("int")).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def scan(t: pd.DataFrame) -> pd.DataFrame:
-        t, out, score, first, n, last = t.sort_values(["begin", "end"]), [], 0, None, 0, None
-        for b, e, g in zip(t["begin"], t["end"], t["_gap"]):
-            score = score + (match if first is not None and g <= distance else mismatch) if first is not None else 0
-            if first is None or score < 0:
-                if first is not None and n > least:
-                    out.append((first, last, n))
-                first, n, score = b, 0, 0
-            n, last = n + 1, e
+    and counts with more than least variants. Rows of a chromosome go by in sorted batches, of which only the state
+    of the stretch is kept, so that no call holds a whole chromosome."""
+    x = regions(df, []).repartition("chromosome").sortWithinPartitions("chromosome", "begin", "end")
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, score, n, last = None, None, 0, 0, 0
+        for t in parts:
+            out = []
+            for c, b, e in zip(t["chromosome"], t["begin"].tolist(), t["end"].tolist()):
+                if c != now or b - last > stop:
+                    if first is not None and n > least:
+                        out.append((now, first, last, n))
+                    now, first, score = c, None, 0
+                elif first is not None:
+                    score += match if b - last <= distance else mismatch
+                if first is None or score < 0:
+                    if first is not None and n > least:
+                        out.append((now, first, last, n))
+                    first, n, score = b, 0, 0
+                n, last = n + 1, e
+            yield pd.DataFrame(out, columns=["chromosome", "begin", "end", "count"])
         if first is not None and n > least:
-            out.append((first, last, n))
-        return pd.DataFrame([(t["chromosome"].iloc[0], *map(int, r)) for r in out], columns=["chromosome", "begin", "end", "count"])
+            yield pd.DataFrame([(now, first, last, n)], columns=["chromosome", "begin", "end", "count"])
 
-    return x.groupBy("chromosome", "_part").applyInPandas(scan, "chromosome string, begin long, end long, count long")
+    return x.mapInPandas(scan, "chromosome string, begin long, end long, count long")
