@@ -228,7 +228,8 @@ def regcollapse(a: DataFrame, fields: list[str], score: str | None = None, numbe
     numbers = numbers or []
     x = regions(a, [*fields, *numbers, *([score] if score and score not in fields else [])])
     cuts = segments({"a": x}, size).where("n_a > 0").select("chromosome", "begin", "end")
-    pairs = overlap_join(cuts, x, bin_size=size)
+    # cuts are shorter than regions and as dense, and all rows of a bin meet: smaller bins than those of the sweep
+    pairs = overlap_join(cuts, x, bin_size=max(size // 32, 1))
     key = ["a_chromosome", "a_begin", "a_end"]
     if score:
         top = F.max_by(F.struct(*[F.col(f"b_{f}").alias(f) for f in fields]), F.struct(F.col(f"b_{score}").alias("s"), -F.col("b_begin"), -F.col("b_end")))
